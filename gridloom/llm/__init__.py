@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_ids", "token_counts", "packing", "media", "fingerprints", "language", "toxicity", "simhash", "lm_score")
+MODULES = ("token_ids", "token_counts", "packing", "media", "fingerprints", "language", "toxicity", "simhash", "lm_score", "sentencepieces")
 
 
 def queries() -> dict:
