@@ -14,7 +14,7 @@ import re
 from array import array
 from collections import Counter
 
-MAX_CACHED = 800_000  #: chunks and words a worker remembers; about 150 MB
+MAX_CACHED = 800_000  #: chunks and words a worker remembers, in two generations; about 150 MB
 
 LONGEST_CACHED = 64  #: characters of a chunk that is worth remembering
 SLICE = 1 << 20  #: characters split at a time, so that a huge text needs no huge list
@@ -42,7 +42,7 @@ class WordPieces:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.max_cached, self.ids, self.words, self.sizes = max_cached, {}, {}, {}
+        self.max_cached, self.ids, self.old, self.words, self.sizes = max_cached // 2, {}, {}, {}, {}
         self.tokenizer = Tokenizer.from_file(path)
         self.separable, self.fast = self._shape(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
@@ -82,13 +82,16 @@ class WordPieces:
         if None in found:
             known = self.ids
             if len(known) + len(self.words) > self.max_cached:
-                known.clear()
-                self.words.clear()
+                # What is still in use comes back from the old generation at its next occurrence.
+                self.old, self.ids, self.words = known, {}, {}
+                known = self.ids
+            old = self.old
             for k, ids in enumerate(found):
                 if ids is None:
                     chunk = chunks[k]
                     if (ids := known.get(chunk)) is None:
-                        ids = self._chunk(chunk)
+                        if (ids := old.get(chunk)) is None:
+                            ids = self._chunk(chunk)
                         if len(chunk) <= LONGEST_CACHED:
                             known[chunk] = ids
                     found[k] = ids
@@ -119,7 +122,7 @@ class WordPieces:
         total, sizes = 0, self.sizes
         for part in slices(text):
             frequencies = Counter(part.replace("\n", " ").split(" "))
-            if len(sizes) > self.max_cached:
+            if len(sizes) > 2 * self.max_cached:
                 sizes.clear()
             for chunk, n in frequencies.items():
                 if (size := sizes.get(chunk)) is None:
