@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from . import _common, rans, wordpieces
 
-SEGMENT = 32 * rans.BLOCK
+SEGMENT = 64 * rans.BLOCK
 END_ID = 1
-STAGED = "shard int, first long, doc_ids array<long>, doc_starts array<long>, lengths array<long>, ids binary"
+STAGED = "shard int, first long, doc_ids array<long>, doc_starts array<long>, lengths array<long>, ids binary, symbols binary, counts binary"
 
 
 def _stage(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> DataFrame:
@@ -31,12 +31,15 @@ def _stage(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> DataFr
         pieces, shard = wordpieces.load(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         names = [x.split()[0] for x in STAGED.split(", ")]
-        kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+        kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 3]
         runs, parts, size, first = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             cols = [list(x) for x in zip(*runs)]
-            row = [shard, first, *cols, b"".join(parts)]
+            ids = b"".join(parts)
+            n = np.bincount(np.frombuffer(ids, "<u4"))
+            at = np.flatnonzero(n)
+            row = [shard, first, *cols, ids, at.astype("<u4").tobytes(), n[at].astype("<u4").tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for b in batches:
@@ -71,17 +74,15 @@ def write_token_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = EN
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b.column("ids"):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+            for symbols, counts in zip(b.column("symbols").to_pylist(), b.column("counts").to_pylist()):
+                at = np.frombuffer(symbols, "<u4").astype(np.int64)
+                if len(at) and at[-1] >= len(total):
+                    total = np.append(total, np.zeros(at[-1] + 1 - len(total), np.int64))
+                total[at] += np.frombuffer(counts, "<u4")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    counts = staged.select("ids").mapInArrow(histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = staged.select("symbols", "counts").mapInArrow(histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts.write.parquet(f"{path}/table")
     table = _table(spark, path)
 
@@ -90,7 +91,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = EN
             blocks = [rans.encode(np.frombuffer(x.as_buffer(), "<u4"), table) for x in b.column("ids")]
             yield b.drop_columns(["ids"]).append_column("blocks", pa.array(blocks, pa.list_(pa.binary())))
 
-    coded = staged.mapInArrow(encode, STAGED.replace("ids binary", "blocks array<binary>"))
+    coded = staged.drop("symbols", "counts").mapInArrow(encode, STAGED.replace("ids binary, symbols binary, counts binary", "blocks array<binary>"))
     coded.write.option("compression", "none").parquet(f"{path}/segments")
     spread = spark.read.parquet(f"{path}/segments").groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     # One row per shard, that is per written partition.
