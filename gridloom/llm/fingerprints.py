@@ -143,7 +143,7 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
     halo = leads("range", "doc_id")
     spread = placed.withColumn("halo", halo).select(F.explode(F.when(F.col("halo").isNull(), F.array(F.struct("range", F.lit(True).alias("own")))).otherwise(F.array(F.struct("range", F.lit(True).alias("own")), F.struct(F.col("halo").alias("range"), F.lit(False).alias("own"))))).alias("at"), "doc_id", "text")
-    return spread.select("at.range", "at.own", "doc_id", "text").repartition(len(order), "range").sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
+    return spread.select("at.range", "at.own", "doc_id", "text").repartitionById(n + 1, F.col("range") + 1).sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
 
 
 def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> DataFrame:
