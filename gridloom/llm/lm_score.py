@@ -12,8 +12,9 @@ texts are summed up.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,9 @@ from pyspark.sql import functions as F
 from . import _common
 
 ORDER = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 START, END = 0xFE, 0xFF  #: bytes that UTF-8 never holds: before a text, and its last symbol
 ALPHABET = 257
-_PART = 1 << 20
 _LONG_WORD = 40
 
 
@@ -54,59 +54,42 @@ def grams(words: list[bytes], order: int) -> np.ndarray:
     return out
 
 
-def _gram_parts(docs: list[list[bytes]], order: int) -> Iterator[np.ndarray]:
-    """The grams of texts in arrays of about _PART."""
-    own, size = [], 0
-    for words in docs:
-        own.append(grams(words, order))
-        size += len(own[-1])
-        if size >= _PART:
-            yield np.concatenate(own)
-            own, size = [], 0
+@dataclass
+class _Block:
+    """A block's documents by their distinct words and grams."""
+
+    ids: list
+    learn: np.ndarray
+    words: list[bytes]  # in order of first occurrence
+    word_ids: list[np.ndarray]  # of each document
+    keys: np.ndarray  # distinct grams, ascending
+    at: np.ndarray  # the distinct grams of each document, as places in keys, document after document
+    counts: np.ndarray  # how often they occur there
+    sizes: np.ndarray  # how many they are in each document
+
+
+def _read_block(table: pa.Table, order: int) -> _Block:
+    """Rows are taken in order of doc_id and text, so equal rows give equal blocks."""
+    ids, learn, texts = (table.column(c).to_pylist() for c in ("doc_id", "learn", "text"))
+    index: defaultdict = defaultdict()
+    index.default_factory = index.__len__
+    out = _Block([], np.zeros(len(ids), bool), [], [], *[np.zeros(0, np.uint64)] * 2, np.zeros(0), np.zeros(0, np.int64))
+    own, counts = [], []
+    for place, i in enumerate(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))):
+        words = tokens(texts[i])
+        texts[i] = None if texts[i] is None else ""  # read; let it go
+        out.ids.append(ids[i])
+        out.learn[place] = learn[i]
+        out.word_ids.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+        g, n = np.unique(grams(words, order), return_counts=True)
+        own.append(g)
+        counts.append(n.astype(np.int32))
+    out.words = list(index)
     if own:
-        yield np.concatenate(own)
-
-
-def _add(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of two sorted (keys, counts)."""
-    keys, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([a[1], b[1]]), len(keys)).astype(np.int64)
-
-
-def _rows(table: pa.Table) -> Iterator[tuple]:
-    for i in range(0, table.num_rows, 500):
-        part = table.slice(i, 500)
-        yield from zip(part.column("doc_id").to_pylist(), part.column("learn").to_pylist(), part.column("text").to_pylist())
-
-
-def block_requests(table: pa.Table, order: int) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
-    """(sorted distinct words, how often in rows to learn from, sorted distinct grams, how often)."""
-    learned, others = Counter(), set()
-    known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    pending: dict[bool, list] = {True: [], False: []}
-    sizes = {True: 0, False: 0}
-
-    def take(learn: bool) -> None:
-        nonlocal known
-        for part in _gram_parts(pending[learn], order):
-            keys, n = np.unique(part, return_counts=True)
-            known = _add(known, (keys, n if learn else np.zeros(len(n), np.int64)))
-        pending[learn], sizes[learn] = [], 0
-
-    for _, learn, text in _rows(table):
-        words = tokens(text)
-        if learn:
-            learned.update(words)
-        else:
-            others.update(words)
-        pending[learn].append(words)
-        sizes[learn] += len(words) + 1
-        if sizes[learn] > 200_000:
-            take(learn)
-    take(True)
-    take(False)
-    words = sorted(others.union(learned))
-    return words, [learned.get(w, 0) for w in words], *known
+        out.sizes = np.array([len(g) for g in own])
+        out.keys, out.at = np.unique(np.concatenate(own), return_inverse=True)
+        out.counts = np.concatenate(counts)
+    return out
 
 
 def logs(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
@@ -184,7 +167,7 @@ def _parts(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _word_buckets(words: list[bytes], n: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w) % n for w in words), np.int64, len(words))
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % n
 
 
 def _gram_buckets(keys: np.ndarray, n: int) -> np.ndarray:
@@ -205,37 +188,43 @@ def _packed(schema: str, rows: list[tuple]) -> pa.Table:
 
 def _ask(block: int, table: pa.Table, order: int, buckets: int) -> pa.Table:
     """A block's distinct words and grams with their counts, packed by the bucket where they meet others."""
-    words, n, keys, counts = block_requests(table, order)
+    b = _read_block(table, order)
+    learned = [w for w, yes in zip(b.word_ids, b.learn) if yes]
+    n = np.bincount(np.concatenate(learned) if learned else np.zeros(0, np.int64), minlength=len(b.words))
+    counts = np.bincount(b.at.astype(np.int64), b.counts * np.repeat(b.learn, b.sizes), len(b.keys)) if len(b.keys) else np.zeros(0)
+    names = [w if len(w) <= _LONG_WORD and w[:1] != b"\x00" else word_key(w) for w in b.words]
     rows = []
-    at, kinds, first = _parts(_word_buckets(words, buckets))
+    at, kinds, first = _parts(_word_buckets(b.words, buckets))
     for bucket, part in zip(kinds, np.split(at, first[1:])):
-        rows.append((bucket, block, WORDS, b"\n".join([word_key(words[i]) for i in part]), np.array([n[i] for i in part], "<u8").tobytes()))
-    at, kinds, first = _parts(_gram_buckets(keys, buckets))
+        rows.append((bucket, block, WORDS, b"\n".join([names[i] for i in part.tolist()]), n[part].astype("<u8").tobytes()))
+    at, kinds, first = _parts(_gram_buckets(b.keys, buckets))
     for bucket, part in zip(kinds, np.split(at, first[1:])):
-        rows.append((bucket, block, GRAMS, keys[part].astype("<u8").tobytes(), counts[part].astype("<u8").tobytes()))
+        rows.append((bucket, block, GRAMS, b.keys[part].astype("<u8").tobytes(), counts[part].astype("<u8").tobytes()))
     return _packed(REQUESTS, rows)
 
 
 def _answer(bucket: int, table: pa.Table, low: np.ndarray, order: int) -> pa.Table:
     """For each request of a bucket: the words' total counts, the grams' log10 probabilities."""
-    out, total, asked, grams_ = [], Counter(), [], []
+    out, words, grams_ = [], [], []
+    index: defaultdict = defaultdict()
+    index.default_factory = index.__len__
     for r in table.to_pylist():
-        n = np.frombuffer(r["n"], "<u8")
+        n = np.frombuffer(r["n"], "<u8").astype(np.int64)
         if r["kind"] == WORDS:
-            words = r["keys"].split(b"\n")
-            for w, k in zip(words, n.tolist()):
-                total[w] += k
-            asked.append((r["block"], words))
+            words.append((r["block"], np.fromiter(map(index.__getitem__, r["keys"].split(b"\n")), np.int64, len(n)), n))
         else:
             grams_.append((r["block"], np.frombuffer(r["keys"], "<u8"), n))
-    distinct = sum(c > 0 for c in total.values())
-    for block, words in asked:
-        out.append((bucket, block, WORDS, distinct, np.array([total[w] for w in words], "<u8").tobytes()))
-        distinct = 0  # once a bucket
+    if words:
+        total = np.zeros(len(index), np.int64)
+        for _, at, n in words:
+            total[at] += n  # a request names a word once
+        distinct = int((total > 0).sum())
+        for block, at, _ in words:
+            out.append((bucket, block, WORDS, distinct, total[at].astype("<u8").tobytes()))
+            distinct = 0  # once a bucket
     if grams_:
         keys, at = np.unique(np.concatenate([g for _, g, _ in grams_]), return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, at, np.concatenate([n for _, _, n in grams_]).astype(np.int64))
+        counts = np.bincount(at, np.concatenate([n for _, _, n in grams_]), len(keys)).astype(np.int64)
         values = logs(keys, counts, low, order).astype("<f4")[at]
         for (block, g, _), part in zip(grams_, np.split(values, np.cumsum([len(g) for _, g, _ in grams_])[:-1])):
             out.append((bucket, block, GRAMS, 0, part.tobytes()))
@@ -250,6 +239,22 @@ def _restored(answers: pa.Table, kind: int, dtype: str, buckets: np.ndarray) ->
     return out
 
 
+def _score(table: pa.Table, values: pa.Table, order: int, buckets: int, totals: tuple[int, int, int]) -> pa.Table:
+    """The results of a block's documents from the answers to its requests."""
+    n_all, v, ends = totals
+    b = _read_block(table, order)
+    counts = _restored(values, WORDS, "<u8", _word_buckets(b.words, buckets))
+    gram_logs = _restored(values, GRAMS, "<f4", _gram_buckets(b.keys, buckets))
+    floor = np.log10(n_all + 0.5 * (v + 1))
+    word_logs, known = np.log10(counts + 0.5) - floor, counts > 0
+    end_log = float(np.log10(ends + 0.5) - floor)
+    # Every document has the end, so none is without grams.
+    sums = np.add.reduceat(gram_logs[b.at] * b.counts, np.cumsum(b.sizes) - b.sizes) if len(b.sizes) else []
+    found = [(i, len(w) + 1, int(known[w].sum()) + (ends > 0), n_all, float(word_logs[w].sum()) + end_log, float(x)) for i, w, x in zip(b.ids, b.word_ids, sums)]
+    kinds = [pa.int64()] * 4 + [pa.float64()] * 2
+    return pa.table({c: pa.array(x, k) for c, x, k in zip(("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"), zip(*found) if found else [[]] * 6, kinds)})
+
+
 def _survey(own: DataFrame) -> tuple[int, int, int, np.ndarray]:
     """(bytes of all texts, learned documents, their words, their counts of byte pairs), in one scan."""
 
@@ -297,28 +302,7 @@ def score_documents(docs: DataFrame, may_learn: Column, order: int = ORDER, bloc
     v = int(answers.agg(F.sum("distinct")).first()[0] or 0) + (ends > 0)
 
     def score(key: tuple, table: pa.Table, values: pa.Table) -> pa.Table:
-        rows = list(_rows(table.select(["doc_id", "learn", "text"])))
-        names: set = set()
-        keys = np.zeros(0, np.uint64)
-        for i in range(0, len(rows), 200):
-            texts = [tokens(t) for _, _, t in rows[i : i + 200]]
-            for words in texts:
-                names.update(words)
-            keys = np.unique(np.concatenate([keys, *map(np.unique, _gram_parts(texts, order))]))
-        ordered = sorted(names)
-        counts = _restored(values, WORDS, "<u8", _word_buckets(ordered, blocks))
-        gram_logs = _restored(values, GRAMS, "<f4", _gram_buckets(keys, blocks))
-        floor = np.log10(n_all + 0.5 * (v + 1))
-        word_logs = dict(zip(ordered, (np.log10(counts + 0.5) - floor).tolist()))
-        known = {w for w, c in zip(ordered, counts.tolist()) if c > 0}
-        end_log = float(np.log10(ends + 0.5) - floor)
-        found = []
-        for doc_id, _, text in rows:
-            words = tokens(text)
-            value = gram_logs[np.searchsorted(keys, grams(words, order))].sum()
-            found.append((doc_id, len(words) + 1, sum(map(known.__contains__, words)) + (ends > 0), n_all, sum(map(word_logs.__getitem__, words)) + end_log, float(value)))
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 2
-        return pa.table({c: pa.array(x, k) for c, x, k in zip(("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"), zip(*found) if found else [[]] * 6, kinds)})
+        return _score(table, values, order, blocks, (n_all, v, ends))
 
     return own.select("block", "doc_id", "learn", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
