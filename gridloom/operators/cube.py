@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 TOLERANCE = 0.01
 HIERARCHY = "dimension string, code string, description string, parent string, level int"
 _CODE = re.compile(r"(rowsDim|filterDim)(\d+)_code")
-NAMES = {"filterDim1": "Metric", "filterDim2": "Product", "rowsDim1": "Geography", "rowsDim2": "Time"}
+NAMES = dict(zip(("rowsDim1", "rowsDim2", "filterDim1", "filterDim2"), ("Geography", "Time", "Metric", "Product")))
 BROADCAST_MEMBERS = 100_000
 
 

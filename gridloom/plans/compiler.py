@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,8 +37,8 @@ class CompileReport:
 
 def safe_name(name: str, used: set[str] | None = None) -> str:
     """A column name from a cell's name."""
-    out = re.sub(r"\W", "_", name)
-    if out.lower() in RESERVED or out[:1].isdigit():
+    out = "".join(c if c.isalnum() or c == "_" else "_" for c in name)
+    if out[:1].isdigit() or out.lower() in RESERVED:
         out = f"sc_{out}"
     while used is not None and out in used:
         out += "_"

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import xml.etree.ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,24 +169,35 @@ def test_exact_lookup(spark):
     assert {r["x"] for r in lookups.remap(df, "x", ref.select("k", F.lit("z").alias("n")), "k", "n").collect()} == {"z", "b", None}
 
 
-BOOK = """<CodeCalculation Name="later" Version="4"><Inputs><Input InputId="1" Name="Start" Type="3"/><Input InputId="2" Name="Days" Type="1"/></Inputs>
-<InputDependencies><InputDependency InputId="1" NodeId="1"/><InputDependency InputId="2" NodeId="2"/></InputDependencies>
-<TestCases>%s</TestCases><FunctionNodes><FunctionNode NodeId="3" Name="+"/></FunctionNodes><ConstantNodes/><NamedNodes/>
-<Outputs><Output Id="1" Name="End" Type="3" NodeId="3"/></Outputs>
-<NodeDependencies><NodeDependency ParentNodeId="1" ChildNodeId="3" ParentPosition="1"/><NodeDependency ParentNodeId="2" ChildNodeId="3" ParentPosition="2"/></NodeDependencies></CodeCalculation>"""
-CASE = '<TestCase><InputValue Type="3" Value="1/1/1973"/><InputValue Type="1" Value="%d"/><OutputValue Type="3" Value="%s"/></TestCase>'
+def book(days, ends):
+    """A workbook of Start + Days, with a case for each pair."""
+    root = ET.Element("CodeCalculation", Name="later", Version="4")
+    place = {t: ET.SubElement(root, t) for t in ("Inputs", "InputDependencies", "TestCases", "FunctionNodes", "Outputs", "NodeDependencies")}
+    for k, (name, kind) in enumerate({"Start": "3", "Days": "1"}.items(), 1):
+        ET.SubElement(place["Inputs"], "Input", InputId=str(k), Name=name, Type=kind)
+        ET.SubElement(place["InputDependencies"], "InputDependency", InputId=str(k), NodeId=str(k))
+        ET.SubElement(place["NodeDependencies"], "NodeDependency", ParentNodeId=str(k), ChildNodeId="3", ParentPosition=str(k))
+    for d, end in zip(days, ends):
+        case = ET.SubElement(place["TestCases"], "TestCase")
+        ET.SubElement(case, "InputValue", Value="1/1/1973", Type="3")
+        ET.SubElement(case, "InputValue", Value=str(d), Type="1")
+        ET.SubElement(case, "OutputValue", Value=end.strftime("%m/%d/%Y"), Type="3")
+    ET.SubElement(place["FunctionNodes"], "FunctionNode", NodeId="3", Name="+")
+    ET.SubElement(place["Outputs"], "Output", Id="1", Name="End", NodeId="3", Type="3")
+    return ET.tostring(root, encoding="unicode")
 
 
 def test_workbooks(spark, tmp_path):
-    cases = "".join(CASE % (k, (datetime.date(1973, 1, 1) + datetime.timedelta(k)).strftime("%m/%d/%Y")) for k in range(10))
-    book = read_workbook(BOOK % (cases + CASE % (5, "01/01/2000")))
-    right, wrong = verify(spark, book)
+    days = list(range(10))
+    ends = [datetime.date(1973, 1, 1) + datetime.timedelta(k) for k in days]
+    read = read_workbook(book([*days, 5], [*ends, datetime.date(2000, 1, 1)]))
+    right, wrong = verify(spark, read)
     assert tuple(right.first()) == (10, 10, 11) and wrong.count() == 1
     with pytest.raises(ValueError):
-        case_table(spark, read_workbook(BOOK % CASE % (1, "1/2/1973")))
-    again = read_workbook(write_workbook(book))
-    assert again.text(again.outputs["End"]) == book.text(book.outputs["End"])
-    (tmp_path / "later.xml").write_text(BOOK % cases)
+        case_table(spark, read_workbook(book([1], ends[1:2])))
+    again = read_workbook(write_workbook(read))
+    assert again.text(again.outputs["End"]) == read.text(read.outputs["End"])
+    (tmp_path / "later.xml").write_text(book(days, ends))
     assert "LATER" in read_macros(tmp_path).macros
     with pytest.raises(GraphError):
         read_transforms(tmp_path)
