@@ -34,6 +34,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= BROADCAST_MEMBERS else df.persist()
 
 
+def _members(hierarchy: DataFrame) -> list | None:
+    """The rows of a hierarchy that a count shows to be small, else None."""
+    rows = hierarchy.limit(BROADCAST_MEMBERS + 1).collect()
+    return rows if len(rows) <= BROADCAST_MEMBERS else None
+
+
 def find_dimensions(df: DataFrame) -> dict[str, list[str]]:
     """{"rows": [...], "filters": [...]} column prefixes; all faults are told at once."""
     columns, wrong = set(df.columns), []
@@ -108,12 +114,25 @@ def extend_hierarchy(hierarchy: DataFrame, df: DataFrame, order: str, names: dic
 
 def levels(hierarchy: DataFrame, most: int = 50) -> DataFrame:
     """Levels from parents: the root is 0. CubeError where members don't reach a root."""
+    if (rows := _members(hierarchy)) is not None:
+        parent, level = {(r["dimension"], r["code"]): r["parent"] for r in rows}, {}
+        for d, c in parent:
+            chain = []
+            while c is not None and (d, c) not in level and (d, c) in parent and len(chain) <= most:
+                chain.append(c)
+                c = parent[d, c]
+            at = -1 if c is None else level.get((d, c))
+            for k, member in enumerate(reversed(chain)):
+                level[d, member] = None if at is None else at + 1 + k
+        if None in level.values():
+            raise CubeError("members form a circle or lack a root")
+        return hierarchy.sparkSession.createDataFrame([(r["dimension"], r["code"], r["description"], r["parent"], level[r["dimension"], r["code"]]) for r in rows], HIERARCHY)
     frontier = hierarchy.where("parent is null").withColumn("level", F.lit(0))
     parts, total = [frontier], hierarchy.count()
     n = frontier.count()
     for level in range(1, most):
         up = frontier.select("dimension", F.col("code").alias("parent"))
-        frontier = hierarchy.join((up), ["dimension", "parent"]).select("dimension", "code", "description", "parent").withColumn("level", F.lit(level))
+        frontier = hierarchy.join(up, ["dimension", "parent"]).select("dimension", "code", "description", "parent").withColumn("level", F.lit(level))
         here = frontier.count()
         if not here:
             break
@@ -152,7 +171,9 @@ def facts(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
 
 def deep_dimensions(hierarchy: DataFrame) -> list[str]:
     """The dimensions with a level of 2 or more."""
-    return sorted(r["dimension"] for r in hierarchy.groupBy("dimension").agg(F.max("level").alias("m")).where("m >= 2").select("dimension").collect())
+    if (rows := _members(hierarchy)) is not None:
+        return sorted({r["dimension"] for r in rows if r["level"] >= 2})
+    return sorted(r["dimension"] for r in hierarchy.where("level >= 2").select("dimension").distinct().collect())
 
 
 def self_and_parent(hierarchy: DataFrame, dimension: str) -> DataFrame:
@@ -170,12 +191,20 @@ def required(fact: DataFrame, hierarchy: DataFrame, dims: list[str]) -> DataFram
     out = fact.select(*dims).distinct()
     for d in deep_dimensions(hierarchy):
         closure = ancestors(hierarchy, d).where("level >= 1").select(F.col("code").alias("prior"), F.col("ancestor").alias("member"))
-        out = out.join((closure), out[d] == closure["prior"]).select(*[F.col("member").alias(d) if c == d else F.col(c) for c in dims]).distinct()
+        out = out.join(closure, out[d] == closure["prior"]).select(*[F.col("member").alias(d) if c == d else F.col(c) for c in dims]).distinct()
     return out
 
 
 def ancestors(hierarchy: DataFrame, dimension: str, most: int = 50) -> DataFrame:
     """code, ancestor, level (of the ancestor): each member's ancestors and itself."""
+    if (rows := _members(hierarchy.where(F.col("dimension") == dimension))) is not None:
+        up, out = {r["code"]: (r["parent"], r["level"]) for r in rows}, []
+        for code in up:
+            above, n = code, 0
+            while above in up and n <= most:
+                out.append((code, above, up[above][1]))
+                above, n = up[above][0], n + 1
+        return hierarchy.sparkSession.createDataFrame(out, "code string, ancestor string, level int")
     h = hierarchy.where(F.col("dimension") == dimension)
     step = h.select("code", F.col("code").alias("ancestor"), "level", "parent")
     parts = [step.select("code", "ancestor", "level")]
@@ -195,7 +224,7 @@ def missing_rows(fact: DataFrame, hierarchy: DataFrame, dims: list[str]) -> Data
 def children_first(df: DataFrame, hierarchy: DataFrame, dims: list[str]) -> DataFrame:
     """Rows ordered so that members come before their ancestors, dimension by dimension."""
     for d in dims:
-        df = df.join((paths(hierarchy, d).select(F.col("code").alias(d), F.col("path").alias(f"__{d}"))), d, "left")
+        df = df.join(paths(hierarchy, d).select(F.col("code").alias(d), F.col("path").alias(f"__{d}")), d, "left")
     return df.orderBy(*[F.desc(f"__{d}") for d in dims]).drop(*[f"__{d}" for d in dims])
 
 
@@ -218,7 +247,7 @@ def atomic(fact: DataFrame, hierarchy: DataFrame, dims: list[str], tolerance: fl
     """
     for d in deep_dimensions(hierarchy):
         m = self_and_parent(hierarchy, d)
-        fact = fact.join((m), fact[d] == m["prior"]).select(*[F.col("member").alias(d) if c == d else F.col(c) for c in dims], (F.col("value") * F.col("sign")).alias("value")).groupBy(*dims).agg(F.sum("value").alias("value"))
+        fact = fact.join(m, fact[d] == m["prior"]).select(*[F.col("member").alias(d) if c == d else F.col(c) for c in dims], (F.col("value") * F.col("sign")).alias("value")).groupBy(*dims).agg(F.sum("value").alias("value"))
     return fact.groupBy(*dims).agg(F.sum("value").alias("value")).where(F.abs("value") > tolerance)
 
 
@@ -243,7 +272,7 @@ def merge_atomic(old: DataFrame, new: DataFrame, dims: list[str], tolerance: flo
 def balance(hierarchy: DataFrame) -> DataFrame:
     """The hierarchy with a chain of reserve members below each member above the last level."""
     deepest = hierarchy.groupBy("dimension").agg(F.max("level").alias("deepest"))
-    above = hierarchy.join((deepest), "dimension").where("level >= 1 and level < deepest")
+    above = hierarchy.join(deepest, "dimension").where("level >= 1 and level < deepest")
     chain = above.select("dimension", F.col("code").alias("member"), F.col("level").alias("at"), F.explode(F.sequence(F.col("level") + 1, F.col("deepest"))).alias("level"))
     name = lambda level: F.concat("member", F.lit("_Reserve_"), level.cast("string"))
     extra = chain.select("dimension", name(F.col("level")).alias("code"), F.lit("<Reserve>").alias("description"), F.when(F.col("level") == F.col("at") + 1, F.col("member")).otherwise(name(F.col("level") - 1)).alias("parent"), "level")
@@ -253,10 +282,10 @@ def balance(hierarchy: DataFrame) -> DataFrame:
 def to_leaves(fact: DataFrame, hierarchy: DataFrame, dims: list[str]) -> DataFrame:
     """Facts on members above the last level move to their last reserve member."""
     deepest = hierarchy.groupBy("dimension").agg(F.max("level").alias("deepest"))
-    moves = hierarchy.join((deepest), "dimension").where("level >= 1 and level < deepest").select("dimension", "code", F.concat("code", F.lit("_Reserve_"), F.col("deepest").cast("string")).alias("leaf"))
+    moves = hierarchy.join(deepest, "dimension").where("level >= 1 and level < deepest").select("dimension", "code", F.concat("code", F.lit("_Reserve_"), F.col("deepest").cast("string")).alias("leaf"))
     for d in dims:
         m = moves.where(F.col("dimension") == d).select(F.col("code").alias("__c"), "leaf")
-        fact = fact.join((m), fact[d] == m["__c"], "left").withColumn(d, F.coalesce("leaf", d)).drop("__c", "leaf")
+        fact = fact.join(m, fact[d] == m["__c"], "left").withColumn(d, F.coalesce("leaf", d)).drop("__c", "leaf")
     return fact
 
 
@@ -268,14 +297,14 @@ def denormalize(balanced: DataFrame, dimension: str) -> DataFrame:
     out = at(deepest)
     for level in range(deepest - 1, 0, -1):
         up = at(level)
-        out = out.join((up), out[f"__p{level + 1}"] == up[f"{dimension}_{level}"])
+        out = out.join(up, out[f"__p{level + 1}"] == up[f"{dimension}_{level}"])
     return out.drop(*[f"__p{i}" for i in range(1, deepest + 1)])
 
 
 def flatten(fact: DataFrame, hierarchy: DataFrame, dims: list[str], keep_codes: bool = False) -> DataFrame:
     """Star-joined facts, value last; a dimension of one level gives its description (and code if asked).
 
-    CubeError for facts whose members the hierarchy lacks, and for repeated members.
+    CubeError for repeated members; a fact whose member the hierarchy lacks fails the query that reads it.
     """
     twice = hierarchy.groupBy("dimension", "code").count().where("count > 1")
     if not twice.isEmpty():
@@ -285,10 +314,10 @@ def flatten(fact: DataFrame, hierarchy: DataFrame, dims: list[str], keep_codes:
     for d in dims:
         wide = denormalize(balanced, d)
         key = wide.columns[0]
-        lost = out.join((wide.select(key)), out[d] == wide[key], "left_anti").select(d)
-        if not lost.isEmpty():
-            raise CubeError(f"facts have unknown members of {d}", lost)
-        out = out.join((wide), out[d] == wide[key])
+        out = out.join(wide, out[d] == wide[key], "left")
+        # The check is part of the plan: no fact may be lost, and none is read twice to see it.
+        shown = f"{d}_1_description"
+        out = out.withColumn(shown, F.when(F.col(key).isNull(), F.raise_error(F.concat(F.lit(f"facts have an unknown member of {d}: "), F.col(d)))).otherwise(F.col(shown)))
         if len(wide.columns) == 2:
             out = out.withColumnRenamed(f"{d}_1_description", f"{d}_description")
             names += [f"{d}_1"] * keep_codes + [f"{d}_description"]
