@@ -4,12 +4,13 @@ Terms (words and word beginnings) that labelled toxic rows favour become lexicon
 patterns over the lexicon become pattern voters. A generative label model estimates, by expectation
 maximisation, how often each voter (and the given label, as one more voter) fires on either class,
 and from residual correlations how far voters repeat each other. A linear classifier is trained on
-the posterior labels. It learns from a bounded sample: TOXIC_ROWS + CLEAN_ROWS labelled rows.
+the posterior labels. It learns from a bounded sample: TOXIC_ROWS + CLEAN_ROWS labelled rows, drawn by language.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -144,14 +145,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60)
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
     """A model of ``labels`` (doc_id, toxic) on ``docs`` (doc_id, text) where may_learn(doc_id) holds."""
     _common.ship(docs.sparkSession)
-    known = labels.select("doc_id", "toxic").where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    of = {}
-    for value, most in ((1, toxic_rows), (0, clean_rows)):
-        for r in known.where(F.col("toxic") == value).groupBy("doc_id").count().orderBy(order, "doc_id").limit(most).collect():
-            of[r["doc_id"]] = value
+    of, spoken = _draw(docs, labels.where(may_learn), toxic_rows, clean_rows)
     sample = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(of)) & F.col("text").isNotNull()) if of else None
-    terms = _lexicon(sample, of) if sample is not None else []
+    terms = _lexicon(sample, of, spoken) if sample is not None else []
     model = Model(terms)
     if not terms:
         return model
@@ -168,32 +164,120 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, toxic_rows: int =
     return model
 
 
-def _lexicon(sample: DataFrame, of: dict[int, int]) -> list[str]:
-    """Up to TERMS terms that occur in labelled toxic rows far more than in clean ones."""
+def shares(have: dict[str, int], most: int, weights: dict[str, int]) -> dict[str, int]:
+    """Places of each language, by weight; what a language can't fill goes to the others."""
+    out, open_, left = dict.fromkeys(have, 0), set(have), most
+    while open_:
+        each = left / sum(weights[k] for k in open_)
+        full = {k for k in open_ if have[k] <= each * weights[k]}
+        out |= {k: have[k] if k in full else int(each * weights[k]) for k in open_}
+        if not full:
+            break
+        left -= sum(have[k] for k in full)
+        open_ -= full
+    return out
+
+
+def _draw(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int) -> tuple[dict[int, int], dict[int, str]]:
+    """The label and the language of each row that is learned from.
+
+    Languages get equal places among toxic rows, so that rare ones keep theirs, and places among
+    clean rows as their toxic ones, so that pooled rates compare like with like. Rows labelled both ways are clean.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"))
+    lang = F.coalesce(F.min(F.col("lang").cast("string")), F.lit("")) if "lang" in docs.columns else F.lit("")
+    known = known.join(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(lang.alias("lang")), "doc_id")
+    have: dict[int, dict[str, int]] = {0: {}, 1: {}}
+    for r in known.groupBy("toxic", "lang").count().collect():
+        have[r["toxic"]][r["lang"]] = r["count"]
+    places = {1: shares(have[1], toxic_rows, dict.fromkeys(have[1], 1))}
+    places[0] = shares(have[0], clean_rows, {k: max(places[1].get(k, 0), 20) for k in have[0]})
+    # Rows below a bound on their hash: a little more than the places, and cut to them here.
+    parts = [(y, k, min(1.0, (n + 6 * n**0.5 + 20) / have[y][k])) for y in places for k, n in places[y].items()]
+    if not parts:
+        return {}, {}
+    bounds = docs.sparkSession.createDataFrame(parts, "toxic int, lang string, most double")
+    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    of, spoken = {}, {}
+    for r in sorted(known.join(F.broadcast(bounds), ["toxic", "lang"]).withColumn("hash", hashed).where("hash <= most").collect(), key=lambda r: (r["hash"], r["doc_id"])):
+        if places[r["toxic"]][r["lang"]] > 0:
+            places[r["toxic"]][r["lang"]] -= 1
+            of[r["doc_id"]], spoken[r["doc_id"]] = r["toxic"], r["lang"]
+    return of, spoken
+
+
+def sketch(text: str) -> list[int]:
+    """The 16 smallest hashes of three words in a row, as white space parts them."""
+    found = text.lower().split()
+    return sorted({zlib.crc32(" ".join(found[k : k + 3]).encode()) for k in range(max(1, len(found) - 2))})[:16]
+
+
+def copies(sketches: dict[int, list[int]]) -> set[int]:
+    """Rows that share half of their sketch with an earlier row that is no copy itself."""
+    first: dict[int, list[int]] = {}
+    out = set()
+    for i in sorted(sketches):
+        shared = Counter(k for h in sketches[i] for k in first.get(h, ()))
+        if any(2 * n >= max(len(sketches[i]), len(sketches[k])) for k, n in shared.items()):
+            out.add(i)
+        else:
+            for h in sketches[i]:
+                first.setdefault(h, []).append(i)
+    return out
+
+
+def _lexicon(sample: DataFrame, of: dict[int, int], spoken: dict[int, str]) -> list[str]:
+    """Up to TERMS terms that labelled toxic rows favour with confidence, dealt in turn to the languages of their toxic rows.
+
+    Near copies of a toxic row are no support of their own: else each rare word of a row that was copied is a term.
+    """
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([sketch(t) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], ["doc_id", "sketch"])
+
+    toxic = sample.where(F.col("doc_id").isin([i for i, y in of.items() if y]))
+    again = copies({r["doc_id"]: r["sketch"] for r in toxic.mapInArrow(sketched, "doc_id long, sketch array<long>").collect()})
+    of = {i: y for i, y in of.items() if i not in again}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        found: dict[tuple[int, str], Counter] = {}
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                found[of[i]].update({t for w in set(words(text)) for t in terms_of(w)})
-        for y, terms in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array(terms.keys(), pa.string()), pa.array([n * y for n in terms.values()], pa.int64()), pa.array([n * (1 - y) for n in terms.values()], pa.int64())], ["term", "toxic", "clean"])
+                if i in of:
+                    found.setdefault((of[i], spoken[i]), Counter()).update({t for w in set(words(text)) for t in terms_of(w)})
+        for (y, lang), terms in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(terms.keys(), pa.string()), pa.array([lang] * len(terms), pa.string()), pa.array([n * y for n in terms.values()], pa.int64()), pa.array([n * (1 - y) for n in terms.values()], pa.int64())], ["term", "lang", "toxic", "clean"])
 
     n = Counter(of.values())
-    least = max(3, n[1] // 200)
-    total = sample.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sums = [F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")]
+    # One shuffle: rows of a term are together for both groupings.
+    each = sample.mapInArrow(run, "term string, lang string, toxic long, clean long").repartition("term").groupBy("term", "lang").agg(*sums)
+    total = each.groupBy("term").agg(*sums, F.max_by("lang", F.struct("toxic", "lang")).alias("lang"))
     # The interval's lower end of the log odds ratio, so that support counts.
     t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(t / (n[1] - F.col("toxic") + 0.5)) - F.log(c / (n[0] - F.col("clean") + 0.5))
     lower = odds - 3 * F.sqrt(1 / t + 1 / c)
-    rows = total.where((F.col("toxic") >= least) & (F.col("clean") * 50 * max(n[1], 1) <= F.col("toxic") * max(n[0], 1))).withColumn("lower", lower).where("lower > 0.5").orderBy(F.desc("lower"), F.length("term"), "term").limit(TERMS).collect()
-    kept: list[str] = []
-    for r in sorted(rows, key=lambda r: (-r["toxic"], len(r["term"]), r["term"])):
+    rows = total.where(F.col("toxic") >= 3).withColumn("lower", lower).where("lower > 0.5").collect()  # few, as the sample is bounded
+    return _places(sorted(rows, key=lambda r: (-r["lower"], len(r["term"]), r["term"])))
+
+
+def _places(rows: list) -> list[str]:
+    """Of terms, best first, those that add something; in turn of each language until TERMS are full."""
+    kept: dict[str, int] = {}
+    dealt: Counter = Counter()
+    ranked = []
+    for r in rows:
         stem = r["term"].rstrip("*")
-        # A word or longer beginning adds nothing to a beginning that is already a voter.
-        if not any(stem.startswith(k[:-1]) for k in kept if k.endswith("*")):
-            kept.append(r["term"])
-    return kept
+        # A word or longer beginning adds nothing to a better beginning, nor does a beginning that finds no more toxic rows.
+        if any(stem[:k] + "*" in kept for k in BEGINNINGS if k <= len(stem)):
+            continue
+        if r["term"].endswith("*") and any(n == r["toxic"] and k.startswith(stem) for k, n in kept.items()):
+            continue
+        kept[r["term"]] = r["toxic"]
+        ranked.append((dealt[r["lang"]], len(ranked), r["term"]))
+        dealt[r["lang"]] += 1
+    return [term for _, _, term in sorted(ranked)[:TERMS]]
 
 
 def assess(docs: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:

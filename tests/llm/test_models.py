@@ -80,6 +80,40 @@ def test_toxicity(spark):
     assert toxicity.assess(empty(spark), blank).count() == 0
 
 
+def test_toxicity_of_a_minority_language(spark):
+    """Its words occur in some clean rows too; every language must be recalled on held-out rows, and copies are no support."""
+    r, rows, labels = random.Random(8), [], []
+    for i in range(1500):
+        lang, bad = ("es", i % 32 == 0) if i % 4 == 0 else ("en", i % 8 == 1)
+        words = [f"{lang}{r.randint(0, 150)}x" for _ in range(30)]
+        stem = "bomente" if lang == "es" else "vile"
+        if bad:
+            words[3], words[20] = (stem + r.choice("abc") for _ in range(2))
+        elif lang == "es" and r.random() < 0.06:
+            words[9] = stem + r.choice("abc")
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(bad)))
+    copied = " ".join(f"{w}vileq" for w in "once upon another evening somebody walked".split())
+    rows += [(i, f"{copied} vilea vileb x{i}", "en") for i in range(2000, 2040)]
+    labels += [(i, 1) for i in range(2000, 2040)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = _common.id_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, marks, ~held)
+    assert not any(t.startswith(("once", "upon", "even")) for t in model.terms)
+    of = dict(labels)
+    seen = defaultdict(list)
+    for row in toxicity.assess(docs.where(held), model).collect():
+        seen[row["lang"], of[row["doc_id"]]].append(row["toxic_score"] >= 0.5)
+    for lang in ("en", "es"):
+        assert np.mean(seen[lang, 1]) >= 0.9 and np.mean(seen[lang, 0]) <= 0.1, lang
+
+
+def test_rare_languages_keep_places():
+    assert toxicity.shares({"a": 900, "b": 30, "c": 400}, 330, dict.fromkeys("abc", 1)) == {"a": 150, "b": 30, "c": 150}
+    assert toxicity.shares({"a": 5, "b": 3}, 10, {"a": 1, "b": 1}) == {"a": 5, "b": 3}
+    assert toxicity.shares({"a": 900, "b": 300}, 90, {"a": 150, "b": 30}) == {"a": 75, "b": 15}
+
+
 def test_label_model_discounts_copies():
     r = np.random.default_rng(2)
     y = (r.random(3000) < 0.3).astype(int)
