@@ -196,7 +196,7 @@ def required(fact: DataFrame, hierarchy: DataFrame, dims: list[str]) -> DataFram
 
 
 def ancestors(hierarchy: DataFrame, dimension: str, most: int = 50) -> DataFrame:
-    """code, ancestor, level (of the ancestor): each member's ancestors and itself."""
+    """code, ancestor, level (of the ancestor): each member's ancestors and itself. CubeError where a chain has more than ``most`` ancestors."""
     if (rows := _members(hierarchy.where(F.col("dimension") == dimension))) is not None:
         up, out = {r["code"]: (r["parent"], r["level"]) for r in rows}, []
         for code in up:
@@ -204,13 +204,17 @@ def ancestors(hierarchy: DataFrame, dimension: str, most: int = 50) -> DataFrame
             while above in up and n <= most:
                 out.append((code, above, up[above][1]))
                 above, n = up[above][0], n + 1
+            if above in up:
+                raise CubeError(f"{dimension}: {code} has more than {most} ancestors")
         return hierarchy.sparkSession.createDataFrame(out, "code string, ancestor string, level int")
     h = hierarchy.where(F.col("dimension") == dimension)
     step = h.select("code", F.col("code").alias("ancestor"), "level", "parent")
     parts = [step.select("code", "ancestor", "level")]
     up = (h.select(F.col("code").alias("ancestor"), F.col("level"), F.col("parent")))
     depth = h.agg(F.max("level")).first()[0] or 0
-    for _ in range(min(depth, most)):
+    if depth > most:
+        raise CubeError(f"{dimension}: a member has more than {most} ancestors")
+    for _ in range(depth):
         step = step.select("code", F.col("parent").alias("ancestor")).where("ancestor is not null").join(up, "ancestor").select("code", "ancestor", "level", "parent")
         parts.append(step.select("code", "ancestor", "level"))
     return settled(reduce(DataFrame.unionByName, parts))

@@ -90,6 +90,18 @@ def test_faults(spark):
         cube.levels(loop)
 
 
+def test_deep_chains_fail_loudly(spark, monkeypatch):
+    rows = [("d", f"m{k:02}", "m", f"m{k - 1:02}" if k else None, k) for k in range(60)]
+    h = lambda n: spark.createDataFrame(rows[:n], cube.HIERARCHY)
+    assert cube.levels(h(60).drop("level")).count() == 60
+    assert cube.ancestors(h(51), "d").where("code = 'm50'").count() == 51
+    with pytest.raises(cube.CubeError):
+        cube.ancestors(h(60), "d")
+    monkeypatch.setattr(cube, "BROADCAST_MEMBERS", 0)
+    with pytest.raises(cube.CubeError):
+        cube.ancestors(h(60), "d")
+
+
 def test_query_set_and_ranks(founding):
     h = founding["hierarchy"]
     q = cube.query_set(h, {"Geography": ["A", "South"], "Time": ["Jan"]}).collect()
