@@ -238,6 +238,43 @@ def lookup_asof_large(spark, sf_dir):
     return _asof(spark, sf_dir, False)
 
 
+_TEXT_KEYS = "SELECT c_custkey AS k, n_name AS nation FROM customer ASOF LEFT JOIN (SELECT n_name FROM nation) n ON c_mktsegment >= n.n_name"
+
+
+def _asof_text(spark, sf_dir, small):
+    customers = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("value"))
+    return lookups.asof_lookup(customers, F.col("value"), read_table(spark, sf_dir, "nation"), "n_name", "n_name", "nation", small=small).select("k", "nation")
+
+
+@query("lookup_asof_text", _TEXT_KEYS)
+def lookup_asof_text(spark, sf_dir):
+    return _asof_text(spark, sf_dir, None)
+
+
+@query("lookup_asof_text_large", _TEXT_KEYS)
+def lookup_asof_text_large(spark, sf_dir):
+    return _asof_text(spark, sf_dir, False)
+
+
+_MAX_LEQ = "SELECT l_orderkey AS k, l_linenumber AS n, coalesce(o.best, 0e0) AS best FROM lineitem ASOF LEFT JOIN (SELECT d, max(p) OVER (ORDER BY d) AS best FROM (SELECT CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS p FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1)) o ON CAST(l_shipdate AS DATE) >= o.d"
+
+
+def _max_leq(spark, sf_dir, small):
+    orders = read_table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderdate").cast("date").alias("d"), F.col("o_totalprice").alias("p"))
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").cast("date").alias("s"))
+    return lookups.max_leq(lines, F.col("s"), orders, "d", "p", "best", small=small).select("k", "n", "best")
+
+
+@query("max_leq_table", _MAX_LEQ)
+def max_leq_table(spark, sf_dir):
+    return _max_leq(spark, sf_dir, None)
+
+
+@query("max_leq_large", _MAX_LEQ)
+def max_leq_large(spark, sf_dir):
+    return _max_leq(spark, sf_dir, False)
+
+
 # Graphs ------------------------------------------------------------------------------------------
 
 _AVERAGE = "SUM(IF(1 > Length, 0, Balance / (1 + Rate) ^ 1), IF(2 > Length, 0, Balance / (1 + Rate) ^ 2)) / Length"

@@ -158,6 +158,52 @@ def test_asof_ways_agree(spark, small):
     assert first["out"] == 0.0
 
 
+BIG = 2**53
+SIDES = {
+    "double": ([1.0, 5.0, 10.0, float("inf")], [0.5, 1.0, 7.0, 12.0, -3.0, None]),
+    "bigint": ([BIG + 1, BIG + 3, 7], [BIG, BIG + 1, BIG + 2, 6, 8, None]),
+    "date": ([datetime.date(2020, 1, d) for d in (1, 9, 20)], [datetime.date(2019, 1, 1), datetime.date(2020, 1, 9), datetime.date(2021, 1, 1), None]),
+    "string": (["b", "d", "é"], ["a", "b", "bz", "e", "z", "日", None]),
+}
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("kind", SIDES)
+def test_ordered_lookups_of_any_size_and_type(spark, kind, small):
+    """Brute force; column names of the left side clash with every name that the lookup uses."""
+    keys, values = SIDES[kind]
+    results = [10.0, 50.0, 20.0, 5.0][: len(keys)]
+    ref = spark.createDataFrame(list(zip(keys, results)), f"k {kind}, r double")
+    names = ["value", "at", "number", "low", "high", "r", "hit", "range", "part", "row", "side", "k", "found", "group", "first", "__r", "__v", "key", "result"]
+    rows = [(v, *range(len(names) - 1)) for v in values]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {kind if n == 'value' else 'int'}" for n in names))
+    below = lambda v: [(k, r) for k, r in zip(keys, results) if v is not None and k <= v]
+    asof = lookups.asof_lookup(df, F.col("value"), ref, "k", "r", "out", default=-1.0, small=small)
+    assert asof.columns == [*names, "out"]
+    assert {r["value"]: r["out"] for r in asof.collect()} == {v: max(below(v))[1] if below(v) else -1.0 for v in values}
+    best = {r["value"]: r["out"] for r in lookups.max_leq(df, F.col("value"), ref, "k", "r", "out", small=small).collect()}
+    assert best == {v: max((r for _, r in below(v)), default=0.0) for v in values}
+    exact = {r["value"]: r["out"] for r in lookups.exact_lookup(df, F.col("value"), ref, "k", "r", "out", small=small).collect()}
+    assert exact == {v: dict(zip(keys, results)).get(v) for v in values}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_many_points_and_a_hot_value(spark, small):
+    """Two steps of search, and a third of the left rows on one value."""
+    ref = spark.range(9000).select((F.col("id") * 3).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("r"))
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 5000).otherwise(F.col("id") * 5 - 100).alias("x"), "id")
+    out = lookups.asof_lookup(df, F.col("x"), ref, "k", "r", "out", default=-1, small=small).collect()
+    assert len(out) == 6000
+    for r in out:
+        k = min(8999, r["x"] // 3)
+        assert r["out"] == (-1 if r["x"] < 0 else k if k % 7 else None)
+
+
+def test_size_checks(spark):
+    assert lookups.is_small(spark.range(5)) and not lookups.is_small(spark.range(6), rows=5)
+    assert not lookups.is_small(spark.createDataFrame([("x" * 5000,)], "t string"), most=4000)
+
+
 def test_exact_lookup(spark):
     ref = spark.createDataFrame([("A", 1, 2), ("a", 2, 1), ("B", None, 3)], "k string, r int, at int")
     df = spark.createDataFrame([("A",), ("b",), (None,)], "x string")
