@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -9,6 +10,8 @@ import zipfile
 import zlib
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +46,45 @@ def checkpoint_ready(spark: SparkSession) -> None:
             spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there."""
     path = work_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed, after four bytes that say how long it was."""
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
+def cuts(df: DataFrame, column: str) -> np.ndarray:
+    """Ascending values that part a long column into about as many ranges as shuffles have partitions."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    known = df.select(column).where(F.col(column).isNotNull())
+    return np.unique(np.array(known.approxQuantile(column, [k / n for k in range(1, n)], 0.1 / n) if n > 1 else [], np.int64))
+
+
+def delete(table: DataFrame, part: str = "") -> None:
+    """Drop a written table that nothing reads any more, or the folder of one partition of it."""
+    sc = table.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if folder.endswith(part):
+            where = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of finished jobs go now: they stay until the driver collects its garbage."""
+    spark.range(1).count()  # the scheduler holds on to the last job until it has another
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where neither PYTHONPATH nor the working folder do."""
     root = str(_ROOT)

@@ -110,25 +110,30 @@ def _first_fit(left: Counter, units: int) -> list[tuple[dict[int, int], int]]:
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grid: int = GRID, end_id: int = END_ID) -> DataFrame:
     """The pieces of each document, with class, writing partition and number there in the class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part, seen = wordpieces.load(tokenizer), TaskContext.get().partitionId(), Counter()
-        end = np.array([end_id], "<u4").tobytes()
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        kinds = [pa.int32() if x.split()[1] == "int" else pa.int64() for x in PIECES.split(", ")]
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = pieces.encode(text) + end
-                total = len(ids) // 4
-                for at in range(0, total, capacity):
-                    own = ids[at * 4 : (at + capacity) * 4]
-                    size = -(-len(own) // 4 // grid)
-                    rows.append((doc_id, at, len(own) // 4, zlib.crc32(own), total, size, part, seen[size]))
-                    seen[size] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    fields = [x.split() for x in PIECES.split(", ")]
+    kinds, names = [pa.int32() if k == "int" else pa.int64() for _, k in fields], [f for f, _ in fields]
+
+    seen: dict[int, np.ndarray] = {}  # by partition; a task has its own copy, so one Python worker numbers what it makes
+
+    def finish(doc_ids: pa.Array, _: None, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        lengths = np.diff(np.concatenate([[0], ends]))
+        n = -(-lengths // capacity)
+        row = np.repeat(np.arange(len(ends)), n)
+        start = (np.arange(len(row)) - (np.cumsum(n) - n)[row]) * capacity
+        own = np.minimum(lengths[row] - start, capacity)
+        data, begin = memoryview(ids.astype("<u4").tobytes()), 4 * ((ends - lengths)[row] + start)
+        crcs = [zlib.crc32(data[x:y]) for x, y in zip(begin.tolist(), (begin + 4 * own).tolist())]
+        part, size = TaskContext.get().partitionId(), -(-own // grid)
+        before = seen.setdefault(part, np.zeros(capacity // grid + 1, np.int64))
+        order = np.argsort(size, kind="stable")
+        found, first, times = np.unique(size[order], return_index=True, return_counts=True)
+        nth = np.empty(len(size), np.int64)
+        nth[order] = np.arange(len(size)) - np.repeat(first, times) + np.repeat(before[found], times)
+        before[found] += times
+        return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row)), *[pa.array(x, k) for x, k in zip((start, own, crcs, lengths[row], size, np.full(len(size), part), nth), kinds[1:])]], names)
+
+    pieces, _ = wordpieces.tokenised(docs.select(F.col("doc_id").cast("long"), "text"), tokenizer, end_id, finish, PIECES)
+    return pieces
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grid: int = GRID, end_id: int = END_ID) -> DataFrame:

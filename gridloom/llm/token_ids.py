@@ -21,35 +21,47 @@ from . import _common, rans, wordpieces
 
 SEGMENT = 64 * rans.BLOCK
 END_ID = 1
-STAGED = "shard int, first long, doc_ids array<long>, doc_starts array<long>, lengths array<long>, ids binary, symbols binary, counts binary"
+PREFIX = 64  #: characters of a text that order rows of equal doc_id
+ROWS = "range int, doc_id long, head string, wide boolean, ids binary"
+SEGMENTS = "shard int, first long, doc_ids array<long>, doc_starts array<long>, lengths array<long>, blocks array<binary>"
 
 
-def _stage(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> DataFrame:
-    """Plain ids in segments of ascending doc_id; rows are split where a segment is full."""
+def _rows(cuts: np.ndarray):
+    """A block's documents with the range of their doc_id (nulls first); 16 bits an id where all of a document fit, compressed."""
+
+    def finish(doc_ids: pa.Array, heads: list, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        begins = np.concatenate([[0], ends[:-1]])
+        wide = np.maximum.reduceat(ids, begins) > 0xFFFF
+        narrow, whole = ids.astype("<u2").tobytes(), ids.astype("<u4").tobytes() if wide.any() else b""
+        own = [_common.squeezed(whole[4 * x : 4 * y] if w else narrow[2 * x : 2 * y]) for x, y, w in zip(begins.tolist(), ends.tolist(), wide.tolist())]
+        place = np.searchsorted(cuts, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), "left") + 1
+        place[doc_ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), doc_ids, pa.array(heads, pa.string()), pa.array(wide), pa.array(own, pa.binary())], [x.split()[0] for x in ROWS.split(", ")])
+
+    return finish
+
+
+def _segments(ordered: DataFrame, table: rans.Table, segment: int) -> DataFrame:
+    """Coded segments of rows in order; a row is split where a segment is full."""
+    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+    kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, shard = wordpieces.load(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        names = [x.split()[0] for x in STAGED.split(", ")]
-        kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 3]
+        shard = TaskContext.get().partitionId()
         runs, parts, size, first = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            cols = [list(x) for x in zip(*runs)]
-            ids = b"".join(parts)
-            n = np.bincount(np.frombuffer(ids, "<u4"))
-            at = np.flatnonzero(n)
-            row = [shard, first, *cols, ids, at.astype("<u4").tobytes(), n[at].astype("<u4").tobytes()]
+            row = [shard, first, *[list(x) for x in zip(*runs)], rans.encode(np.concatenate(parts), table)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids, at = pieces.encode(text) + end, 0
+            for doc_id, wide, data in zip(b.column("doc_id").to_pylist(), b.column("wide").to_pylist(), b.column("ids").to_pylist()):
+                ids, at = np.frombuffer(_common.unsqueezed(data), "<u4" if wide else "<u2").astype(np.uint32), 0
                 while at < len(ids):
-                    part = ids[at : at + 4 * (segment - size)]
-                    runs.append((doc_id, at // 4, len(part) // 4))
+                    part = ids[at : at + segment - size]
+                    runs.append((doc_id, at, len(part)))
                     parts.append(part)
-                    size += len(part) // 4
+                    size += len(part)
                     at += len(part)
                     if size == segment:
                         yield flush()
@@ -57,54 +69,31 @@ def _stage(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> DataFr
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, STAGED)
+    return ordered.select("doc_id", "wide", "ids").mapInArrow(run, SEGMENTS)
 
 
 def write_token_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, segment: int = SEGMENT) -> None:
     """Write the ids of ``docs`` (doc_id, text) below path, in ascending doc_id order, end id after each.
 
-    Null and empty texts are the end id alone; rows with equal doc_id stay apart, in the order of
-    their texts; a null doc_id comes first; an empty table makes empty tables; further columns are ignored.
+    Texts stay where they lie; their ids, 16 bits each, are what is sorted. Null and empty
+    texts are the end id alone; rows with equal doc_id stay apart, in the order of their texts' first
+    PREFIX characters (null first), then of their compressed ids; a null doc_id comes first; an empty table makes
+    empty tables; further columns are ignored.
     """
     spark = docs.sparkSession
     _common.ship(spark)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    staged = _common.written(_stage(ordered, tokenizer, end_id, segment), "ids", compression="zstd")
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            for symbols, counts in zip(b.column("symbols").to_pylist(), b.column("counts").to_pylist()):
-                at = np.frombuffer(symbols, "<u4").astype(np.int64)
-                if len(at) and at[-1] >= len(total):
-                    total = np.append(total, np.zeros(at[-1] + 1 - len(total), np.int64))
-                total[at] += np.frombuffer(counts, "<u4")
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    counts = staged.select("symbols", "counts").mapInArrow(histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.substring("text", 1, PREFIX).alias("head"), "text")
+    cuts = _common.cuts(docs, "doc_id")
+    rows, counts = wordpieces.tokenised(docs, tokenizer, end_id, _rows(cuts), ROWS, histogram=True)
     counts.write.parquet(f"{path}/table")
-    table = _table(spark, path)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blocks = [rans.encode(np.frombuffer(x.as_buffer(), "<u4"), table) for x in b.column("ids")]
-            yield b.drop_columns(["ids"]).append_column("blocks", pa.array(blocks, pa.list_(pa.binary())))
-
-    coded = staged.drop("symbols", "counts").mapInArrow(encode, STAGED.replace("ids binary, symbols binary, counts binary", "blocks array<binary>"))
-    coded.write.option("compression", "none").parquet(f"{path}/segments")
+    ordered = rows.repartitionById(len(cuts) + 2, "range").sortWithinPartitions("doc_id", "head", "ids")
+    _segments(ordered, _table(spark, path), segment).write.option("compression", "none").parquet(f"{path}/segments")
+    _common.delete(rows)
+    _common.delete(counts)
     spread = spark.read.parquet(f"{path}/segments").groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     # One row per shard, that is per written partition.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     spread.select("shard", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/shards")
-    _delete(spark, staged.inputFiles())
-
-
-def _delete(spark: SparkSession, files: list[str]) -> None:
-    """Drop the staged plain ids."""
-    for folder in {f.rpartition("/")[0] for f in files}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _table(spark: SparkSession, path: str) -> rans.Table:

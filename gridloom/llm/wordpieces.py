@@ -2,7 +2,8 @@
 
 The file's normaliser works on single characters and white space, and its pre-tokens never cross
 white space; so the ids of a text are the ids of its space-separated chunks, one after the other.
-Each worker keeps chunk -> ids for chunks that it met (bounded); the library encodes only the rest.
+``tokenised`` joins the blocks of a corpus to the ids of its distinct chunks, each of which is tokenised
+once; a text that comes alone is split here, with a bounded cache chunk -> ids.
 """
 
 from __future__ import annotations
@@ -13,6 +14,16 @@ import os
 import re
 from array import array
 from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import _common, blocks
+from .blocks import gathered, groups
 
 MAX_CACHED = 800_000  #: chunks and words a worker remembers, in two generations; about 150 MB
 
@@ -76,11 +87,11 @@ class WordPieces:
                 return b"".join(map(self._word, _PRE.findall(chunk.lower())))
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def _encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        found = list(map(self.ids.get, chunks))
+    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        known = self.ids
+        found = list(map(known.get, chunks))
         if None in found:
-            known = self.ids
             if len(known) + len(self.words) > self.max_cached:
                 # What is still in use comes back from the old generation at its next occurrence.
                 self.old, self.ids, self.words = known, {}, {}
@@ -89,48 +100,54 @@ class WordPieces:
             for k, ids in enumerate(found):
                 if ids is None:
                     chunk = chunks[k]
-                    if (ids := known.get(chunk)) is None:
-                        if (ids := old.get(chunk)) is None:
-                            ids = self._chunk(chunk)
-                        if len(chunk) <= LONGEST_CACHED:
-                            known[chunk] = ids
+                    if (ids := old.get(chunk)) is None:
+                        ids = self._chunk(chunk)
+                    if len(chunk) <= LONGEST_CACHED:
+                        known[chunk] = ids
                     found[k] = ids
-        return b"".join(found)
+        return found
 
     def encode(self, text: str | None) -> bytes:
+        """The ids of one text."""
         if not text:
             return b""
         if not self.separable:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(text) <= SLICE:
-            return self._encode(text)
-        return b"".join(map(self._encode, slices(text)))
+        return b"".join(b"".join(self.of_chunks(part.replace("\n", " ").split(" "))) for part in slices(text))
 
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts one after the other, where each ends)."""
+        own = [self.encode(t) for t in texts.to_pylist()]
+        return np.frombuffer(b"".join(own), np.uint32), np.cumsum([len(x) // 4 for x in own])
 
-    def _size(self, chunk: str) -> int:
+    def of_words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each distinct chunk has, the ids one after the other)."""
+        own = list(map(self._chunk, chunks))
+        self.words.clear()
+        return np.fromiter(map(len, own), np.int32, len(own)) // 4, np.frombuffer(b"".join(own), np.int32)
+
+    def size(self, chunk: str) -> int:
+        """The number of ids of a chunk."""
         if self.fast and len(chunk) <= LONGEST_CACHED and _SAFE.fullmatch(chunk) and "<|" not in chunk:
             words = [chunk.lower()] if _PLAIN.fullmatch(chunk) else _PRE.findall(chunk.lower())
             return sum(len(self.model.tokenize(w if w.isascii() else w.translate(self.letters))) for w in words)
         return len(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def count(self, text: str | None) -> int:
-        """The number of ids, from the text's chunk frequencies and each distinct chunk's size."""
+        """The number of ids of one text, from the frequencies of its chunks."""
         if not text:
             return 0
         if not self.separable:
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        total, sizes = 0, self.sizes
-        for part in slices(text):
-            frequencies = Counter(part.replace("\n", " ").split(" "))
-            if len(sizes) > 2 * self.max_cached:
-                sizes.clear()
-            for chunk, n in frequencies.items():
-                if (size := sizes.get(chunk)) is None:
-                    size = self._size(chunk)
-                    if len(chunk) <= LONGEST_CACHED:
-                        sizes[chunk] = size
-                total += n * size
-        return total
+        return sum(n * self.size(chunk) for part in slices(text) for chunk, n in Counter(part.replace("\n", " ").split(" ")).items())
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(bounds of each text's chunks, the number of each chunk, the distinct chunks by number)."""
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    encoded = lists.flatten().dictionary_encode()
+    bounds = lists.offsets.to_numpy()
+    return bounds - bounds[0], encoded.indices.to_numpy(), encoded.dictionary
 
 
 def slices(text: str, most: int = SLICE):
@@ -151,3 +168,68 @@ def load(path: str) -> WordPieces:
         gc.set_threshold(200_000, 50, 1000)  # the caches hold no cycles; scanning them again and again is waste
         _loaded[path] = WordPieces(path)
     return _loaded[path]
+
+
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, finish: Callable, schema: str, histogram: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(what finish(doc_ids, heads, ids, ends) makes of each block of ``docs`` (doc_id long, text, perhaps
+    head), a table id, n of all ids if asked for); each document's ids are followed by end_id, ends says where.
+
+    Each distinct chunk of the corpus is tokenised once. A tokenizer whose pre-tokens may cross white
+    space takes each text by itself. With a histogram the rows are a written table, and what led to
+    them is deleted.
+    """
+    spark = docs.sparkSession
+    if load(tokenizer).separable:
+        def whole(doc_ids: pa.Array, heads: list | None, arrays: list[np.ndarray], sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+            bounds, numbers = arrays
+            numbers = np.insert(numbers, bounds[1:], len(sizes))
+            ids, ends = gathered(np.append(flat, np.int32(end_id)), np.append(sizes, np.int32(1)), numbers)
+            return finish(doc_ids, heads, ids, ends[bounds[1:] + np.arange(len(bounds) - 1)])
+
+        table = blocks.staged(docs, numbered)
+        answers = blocks.answered(table, lambda chunks: load(tokenizer).of_words(chunks), histogram)
+        if not histogram:
+            return blocks.joined(table, answers, whole, schema), None
+        answers = _common.written(answers, "answers")
+        _common.delete(table, "asks=true")  # answered
+        _common.release(spark)
+        counts = _common.written(_histogram(answers, end_id, docs), "histogram")
+        rows = _common.written(blocks.joined(table, answers, whole, schema), "rows")
+        _common.delete(table)
+        _common.delete(answers)
+        _common.release(spark)
+        return rows, counts
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, texts in groups(b.column("text"), blocks.BLOCK_BYTES):
+                ids, ends = load(tokenizer).encode_batch(texts)
+                own = b.slice(first, len(texts))
+                yield finish(own.column("doc_id"), own.column("head").to_pylist() if "head" in b.schema.names else None, np.insert(ids, ends, end_id).astype(np.int64), ends + np.arange(1, len(ends) + 1))
+
+    made = docs.mapInArrow(alone, schema)
+    if not histogram:
+        return made, None
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in groups(b.column("text"), blocks.BLOCK_BYTES):
+                symbols, n = np.unique(load(tokenizer).encode_batch(texts)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(symbols.astype(np.int64)), pa.array(n)], ["id", "n"])
+
+    return made, _summed(docs.mapInArrow(counted, "id long, n long"), end_id, docs)
+
+
+def _summed(counts: DataFrame, end_id: int, docs: DataFrame) -> DataFrame:
+    ends = docs.agg(F.lit(end_id).cast("long").alias("id"), F.count("*").alias("n")).where("n > 0")
+    return counts.unionByName(ends).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _histogram(answers: DataFrame, end_id: int, docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for symbols, n in zip(b.column("sizes").to_pylist(), b.column("flat").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(symbols, "<u4").astype(np.int64)), pa.array(np.frombuffer(n, "<u8").astype(np.int64))], ["id", "n"])
+
+    counts = answers.where(F.col("block") == blocks.HISTOGRAM).select("sizes", "flat").mapInArrow(run, "id long, n long")
+    return _summed(counts, end_id, docs)
