@@ -1,100 +1,77 @@
 """Language-model scores by prediction by partial matching, and a smoothed unigram base.
 
 The model is a byte-context trie of depth ORDER with escapes by the number of distinct symbols
-(method C) and symbol exclusion, pretrained on the rows that may be learned from. Documents are
-split by hash into blocks; a block asks for its distinct words and its distinct grams (context and
-symbol) only. Counts meet by key: words by word, grams by their last two context bytes, so that all
-nested contexts of order 2 and more lie in one task; orders 1 and 0 are one table of 256 x 256
-counts. Requests travel packed, one row per block and bucket. Answers go back by block, where the
-texts are summed up.
+(method C) and symbol exclusion, pretrained on the rows that may be learned from. Documents are read
+in blocks; a block asks for its distinct words and its distinct grams (context and symbol) only,
+packed by hash bucket. Counts are merged there first, so what goes on is one entry a gram of the
+whole corpus. Merged grams meet by their last three context bytes, where the trie below is worked
+out; the grams of order 2, at most 2 ** 24 numbers, stand beside. Logarithms go back to the hash
+buckets, and from there by block to the compressed texts.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common
+from .blocks import groups
 
 ORDER = 5
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES, PART_BYTES, PART_ROWS, BUCKET_BYTES = 10 << 20, 2 << 20, 1 << 16, 12 << 20
+CONTEXTS = 1024  #: buckets of contexts at most
 START, END = 0xFE, 0xFF  #: bytes that UTF-8 never holds: before a text, and its last symbol
 ALPHABET = 257
-_LONG_WORD = 40
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_key(word: bytes) -> bytes:
-    """The word, or a digest of a very long one."""
-    if len(word) <= _LONG_WORD and word[:1] != b"\x00":
-        return word
-    from xxhash import xxh3_128_hexdigest
-
-    return b"\x00" + xxh3_128_hexdigest(word).encode()
-
-
-def grams(words: list[bytes], order: int) -> np.ndarray:
-    """For each byte of the words joined by spaces, and the end: order bytes of context, then it."""
-    data = np.frombuffer(bytes([START]) * order + b" ".join(words) + bytes([END]), np.uint8).astype(np.uint64)
-    n = len(data) - order
-    out = data[:n].copy()
-    for k in range(1, order + 1):
-        out <<= np.uint64(8)
-        out |= data[k : k + n]
-    return out
-
-
-@dataclass
-class _Block:
-    """A block's documents by their distinct words and grams."""
-
-    ids: list
-    learn: np.ndarray
-    words: list[bytes]  # in order of first occurrence
-    word_ids: list[np.ndarray]  # of each document
-    keys: np.ndarray  # distinct grams, ascending
-    at: np.ndarray  # the distinct grams of each document, as places in keys, document after document
-    counts: np.ndarray  # how often they occur there
-    sizes: np.ndarray  # how many they are in each document
-
-
-def _read_block(table: pa.Table, order: int) -> _Block:
-    """Rows are taken in order of doc_id and text, so equal rows give equal blocks."""
-    ids, learn, texts = (table.column(c).to_pylist() for c in ("doc_id", "learn", "text"))
-    index: defaultdict = defaultdict()
-    index.default_factory = index.__len__
-    out = _Block([], np.zeros(len(ids), bool), [], [], *[np.zeros(0, np.uint64)] * 2, np.zeros(0), np.zeros(0, np.int64))
-    own, counts = [], []
-    for place, i in enumerate(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))):
-        words = tokens(texts[i])
-        texts[i] = None if texts[i] is None else ""  # read; let it go
-        out.ids.append(ids[i])
-        out.learn[place] = learn[i]
-        out.word_ids.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-        g, n = np.unique(grams(words, order), return_counts=True)
-        own.append(g)
-        counts.append(n.astype(np.int32))
-    out.words = list(index)
-    if own:
-        out.sizes = np.array([len(g) for g in own])
-        out.keys, out.at = np.unique(np.concatenate(own), return_inverse=True)
-        out.counts = np.concatenate(counts)
-    return out
-
-
-def logs(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(the text of each word, its number, the distinct words by number) of texts without nulls."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    encoded = lists.flatten().dictionary_encode()
+    rows, numbers, words = pc.list_parent_indices(lists).to_numpy(), encoded.indices.to_numpy(), encoded.dictionary
+    blank = pc.index(words, "").as_py() if len(words) else -1  # what white space at either end leaves
+    if blank >= 0:
+        keep = numbers != blank
+        rows, numbers = rows[keep], numbers[keep]
+        numbers = numbers - (numbers > blank)
+        words = pa.concat_arrays([words.slice(0, blank), words.slice(blank + 1)])
+    return rows.astype(np.int64), numbers.astype(np.int64), words
+
+
+def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct grams, how many texts hold each, these texts gram by gram, how often each does) of up to
+    PART_ROWS lower-cased texts. A gram is order bytes of context, then a byte of the text or its end."""
+    data = np.frombuffer(b"".join(bytes([START]) * order + t + bytes([END]) for t in texts), np.uint8)
+    n = max(0, len(data) - order)
+    keys = np.zeros(n, np.uint64)
+    for k in range(order + 1):
+        keys <<= np.uint64(8)
+        keys |= data[k : k + n]
+    keys = keys[data[order:] != START]
+    keys <<= np.uint64(16)
+    keys |= np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) + 1 for t in texts])
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    times = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    own, holders = np.unique(keys >> np.uint64(16), return_counts=True)
+    return own, holders.astype(np.int32), (keys & np.uint64(0xFFFF)).astype(np.uint16), times.astype(np.int32)
+
+
+def logs(keys: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
     """log10 probability of each gram by the trie whose counts are n (keys sorted and distinct, all
-    grams of each last pair of context bytes present); low[c, s]: counts of order 1."""
+    grams of each last three context bytes present); pairs: all grams of order 2 and their counts."""
+    low = np.bincount((pairs[0] & np.uint64(0xFFFF)).astype(np.int64), pairs[1], 1 << 16).astype(np.int64).reshape(256, 256)
     seen = n > 0
     out = np.zeros(len(keys))
     open_ = np.ones(len(keys), bool)  # not yet predicted
@@ -103,8 +80,9 @@ def logs(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: int) -> np.nda
     upper = None
     for k in range(order, 1, -1):
         mask = np.uint64((1 << (8 * (k + 1))) - 1)
-        g, at = np.unique(keys[seen] & mask, return_inverse=True)  # grams of order k in the trie
-        c = np.bincount(at, n[seen], len(g)).astype(np.int64)
+        # Grams of order k in the trie; those of order 2 also stand beside other third bytes.
+        g, at = np.unique(keys[seen] & mask, return_inverse=True) if k > 2 else (pairs[0], None)
+        c = np.bincount(at, n[seen], len(g)).astype(np.int64) if k > 2 else pairs[1]
         context, first = np.unique(g >> np.uint64(8), return_index=True)
         total = np.add.reduceat(c, first) if len(g) else np.zeros(0, np.int64)
         distinct = np.diff(np.append(first, len(g)))
@@ -159,152 +137,217 @@ def logs(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: int) -> np.nda
     return out
 
 
-def _parts(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by bucket, the buckets there are, where each begins in that order)."""
-    order = np.argsort(buckets, kind="stable")
-    kinds, first = np.unique(buckets[order], return_index=True)
-    return order, kinds, first
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers of 64 bits, byte by byte, compressed."""
+    return _common.squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 8).T).tobytes())
 
 
-def _word_buckets(words: list[bytes], n: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % n
+def _unsqueezed(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(_common.unsqueezed(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
+
+
+def _word_buckets(words: pa.Array, n: int) -> np.ndarray:
+    from xxhash import xxh32_intdigest
+
+    return np.fromiter(map(xxh32_intdigest, words.cast(pa.binary()).to_pylist()), np.int64, len(words)) % n
 
 
 def _gram_buckets(keys: np.ndarray, n: int) -> np.ndarray:
-    """By the last two context bytes."""
-    return ((((keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) & np.uint64(0xFFFF)) % np.uint64(n)).astype(np.int64)
+    return (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-WORDS, GRAMS = 0, 1
-REQUESTS = "bucket int, block int, kind int, keys binary, n binary"
-ANSWERS = "bucket int, block int, kind int, distinct long, answers binary"
+def _context_buckets(keys: np.ndarray, n: int) -> np.ndarray:
+    """By the last three context bytes."""
+    return _gram_buckets((keys >> np.uint64(8)) & np.uint64(0xFFFFFF), n)
 
 
-def _packed(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.table({f: pa.array(c, kinds[k]) for (f, k), c in zip(fields, zip(*rows) if rows else [[]] * len(fields))})
-
-
-def _ask(block: int, table: pa.Table, order: int, buckets: int) -> pa.Table:
-    """A block's distinct words and grams with their counts, packed by the bucket where they meet others."""
-    b = _read_block(table, order)
-    learned = [w for w, yes in zip(b.word_ids, b.learn) if yes]
-    n = np.bincount(np.concatenate(learned) if learned else np.zeros(0, np.int64), minlength=len(b.words))
-    counts = np.bincount(b.at.astype(np.int64), b.counts * np.repeat(b.learn, b.sizes), len(b.keys)) if len(b.keys) else np.zeros(0)
-    names = [w if len(w) <= _LONG_WORD and w[:1] != b"\x00" else word_key(w) for w in b.words]
-    rows = []
-    at, kinds, first = _parts(_word_buckets(b.words, buckets))
-    for bucket, part in zip(kinds, np.split(at, first[1:])):
-        rows.append((bucket, block, WORDS, b"\n".join([names[i] for i in part.tolist()]), n[part].astype("<u8").tobytes()))
-    at, kinds, first = _parts(_gram_buckets(b.keys, buckets))
-    for bucket, part in zip(kinds, np.split(at, first[1:])):
-        rows.append((bucket, block, GRAMS, b.keys[part].astype("<u8").tobytes(), counts[part].astype("<u8").tobytes()))
-    return _packed(REQUESTS, rows)
-
-
-def _answer(bucket: int, table: pa.Table, low: np.ndarray, order: int) -> pa.Table:
-    """For each request of a bucket: the words' total counts, the grams' log10 probabilities."""
-    out, words, grams_ = [], [], []
-    index: defaultdict = defaultdict()
-    index.default_factory = index.__len__
-    for r in table.to_pylist():
-        n = np.frombuffer(r["n"], "<u8").astype(np.int64)
-        if r["kind"] == WORDS:
-            words.append((r["block"], np.fromiter(map(index.__getitem__, r["keys"].split(b"\n")), np.int64, len(n)), n))
-        else:
-            grams_.append((r["block"], np.frombuffer(r["keys"], "<u8"), n))
-    if words:
-        total = np.zeros(len(index), np.int64)
-        for _, at, n in words:
-            total[at] += n  # a request names a word once
-        distinct = int((total > 0).sum())
-        for block, at, _ in words:
-            out.append((bucket, block, WORDS, distinct, total[at].astype("<u8").tobytes()))
-            distinct = 0  # once a bucket
-    if grams_:
-        keys, at = np.unique(np.concatenate([g for _, g, _ in grams_]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([n for _, _, n in grams_]), len(keys)).astype(np.int64)
-        values = logs(keys, counts, low, order).astype("<f4")[at]
-        for (block, g, _), part in zip(grams_, np.split(values, np.cumsum([len(g) for _, g, _ in grams_])[:-1])):
-            out.append((bucket, block, GRAMS, 0, part.tobytes()))
-    return _packed(ANSWERS, out)
-
-
-def _restored(answers: pa.Table, kind: int, dtype: str, buckets: np.ndarray) -> np.ndarray:
-    """A block's answers in the order of its own keys."""
-    rows = sorted((r["bucket"], r["answers"]) for r in answers.to_pylist() if r["kind"] == kind)
+def _split(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order by bucket, (bucket, its begin and end in that order))."""
+    order = np.argsort(buckets, kind="stable")
+    kinds, first = np.unique(buckets[order], return_index=True)
+    return order, list(zip(kinds.tolist(), first.tolist(), np.append(first[1:], len(order)).tolist()))
+
+
+def _restored(answers: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
+    """Answers, bucket by bucket, in the order of what was asked."""
     out = np.zeros(len(buckets))
-    out[np.argsort(buckets, kind="stable")] = np.frombuffer(b"".join(x for _, x in rows), dtype)
+    out[np.argsort(buckets, kind="stable")] = np.concatenate([np.zeros(0), *answers])
     return out
 
 
-def _score(table: pa.Table, values: pa.Table, order: int, buckets: int, totals: tuple[int, int, int]) -> pa.Table:
-    """The results of a block's documents from the answers to its requests."""
-    n_all, v, ends = totals
-    b = _read_block(table, order)
-    counts = _restored(values, WORDS, "<u8", _word_buckets(b.words, buckets))
-    gram_logs = _restored(values, GRAMS, "<f4", _gram_buckets(b.keys, buckets))
-    floor = np.log10(n_all + 0.5 * (v + 1))
-    word_logs, known = np.log10(counts + 0.5) - floor, counts > 0
-    end_log = float(np.log10(ends + 0.5) - floor)
-    # Every document has the end, so none is without grams.
-    sums = np.add.reduceat(gram_logs[b.at] * b.counts, np.cumsum(b.sizes) - b.sizes) if len(b.sizes) else []
-    found = [(i, len(w) + 1, int(known[w].sum()) + (ends > 0), n_all, float(word_logs[w].sum()) + end_log, float(x)) for i, w, x in zip(b.ids, b.word_ids, sums)]
-    kinds = [pa.int64()] * 4 + [pa.float64()] * 2
-    return pa.table({c: pa.array(x, k) for c, x, k in zip(("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"), zip(*found) if found else [[]] * 6, kinds)})
+WORDS, GRAMS = 0, 1
+STAGED = "kind int, bucket int, block long, keys binary, n binary, doc_ids array<long>, texts array<binary>"
+MERGED = "context int, bucket int, keys binary, n binary"
+ANSWERS = "kind int, bucket int, block long, answers binary, distinct long, total long"
+SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({f: pa.array(c, _KINDS[k]) for (f, k), c in zip(fields, zip(*rows) if rows else [[]] * len(fields))})
+
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, lower-cased texts) of a block, a bounded part at a time."""
+    for first, part in groups(texts, PART_BYTES):
+        data = [t.lower() for t in part.cast(pa.binary()).to_pylist()]
+        for at in range(0, len(data), PART_ROWS):
+            yield first + at, data[at : at + PART_ROWS]
 
-def _survey(own: DataFrame) -> tuple[int, int, int, np.ndarray]:
-    """(bytes of all texts, learned documents, their words, their counts of byte pairs), in one scan."""
+
+def _stage(own: DataFrame, order: int, buckets: int) -> DataFrame:
+    """Each block's requests, and a row of its texts (kind is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, ends, n, low = 0, 0, 0, np.zeros(1 << 16, np.int64)
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
-            for learn, text in zip(b.column("learn").to_pylist(), b.column("text").to_pylist()):
-                words = tokens(text)
-                size += len(text.encode("utf-8", "surrogatepass")) if text else 0
-                if learn:
-                    ends += 1
-                    n += len(words)
-                    low += np.bincount(grams(words, 1).astype(np.int64), minlength=1 << 16)
-        at = np.flatnonzero(low)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-3, -2, -1], at])), pa.array(np.concatenate([[size, ends, n], low[at]]))], ["k", "n"])
-
-    rows = own.select("learn", "text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 16 + 3 rows
-    of, low = {r["k"]: r["n"] for r in rows}, np.zeros(1 << 16, np.int64)
-    for k, n in of.items():
-        if k >= 0:
-            low[k] = n
-    return of.get(-3, 0), of.get(-2, 0), of.get(-1, 0), low.reshape(256, 256)
-
-
-def score_documents(docs: DataFrame, may_learn: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            for first, texts in groups(b.column("text"), BLOCK_BYTES):
+                learn = b.column("learn").slice(first, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
+                rows, numbers, words = words_of(texts)
+                n = np.bincount(numbers[learn[rows]], minlength=len(words))
+                at, spans = _split(_word_buckets(words, buckets))
+                lists = pa.ListArray.from_arrays(pa.array([*[x for _, x, _ in spans], len(at)], pa.int32()), words.take(pa.array(at)))
+                out = [(WORDS, k, block, _common.squeezed(w), _squeezed(n[at[x:y]]), None, None) for (k, x, y), w in zip(spans, pc.binary_join(lists, "\n").cast(pa.binary()).to_pylist())]
+                found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+                kept = []
+                for start, part in _parts(texts):
+                    keys, holders, docs, times = grams_of(part, order)
+                    found.append((keys, np.add.reduceat(times * learn[start + docs.astype(np.int64)], np.cumsum(holders) - holders)))
+                for _, part in groups(texts, PART_BYTES):
+                    data = part.cast(pa.binary()).to_pylist()
+                    kept += [_common.squeezed(b"".join(data)), _squeezed(np.array(list(map(len, data)), np.int64))]
+                keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+                at, spans = _split(_gram_buckets(keys, buckets))
+                out += [(GRAMS, k, block, _squeezed(np.diff(keys[at[x:y]], prepend=np.uint64(0))), _squeezed(n[at[x:y]]), None, None) for k, x, y in spans]
+                out.append((None, None, block, None, None, b.column("doc_id").slice(first, len(texts)).to_pylist(), kept))
+                block += 1
+                yield from _table(STAGED, out).to_batches()
+
+    return _common.written(own.mapInArrow(run, STAGED), "blocks", compression="zstd")
+
+
+def _asked(row: dict) -> np.ndarray:
+    return np.cumsum(_unsqueezed(row["keys"], "<u8"), dtype=np.uint64)
+
+
+def _count_words(requests: pa.Table) -> pa.Table:
+    """The learned count of each requested word; how many there are and their sum stand once a bucket."""
+    rows = requests.to_pylist()
+    lists = pc.split_pattern(pa.array([_common.unsqueezed(r["keys"]) for r in rows], pa.binary()).cast(pa.string()), "\n")
+    encoded = lists.flatten().dictionary_encode()
+    at, bounds = encoded.indices.to_numpy(), lists.offsets.to_numpy()
+    total = np.bincount(at, np.concatenate([_unsqueezed(r["n"], "<i8") for r in rows]), len(encoded.dictionary)).astype(np.int64)
+    own = [(WORDS, r["bucket"], r["block"], _squeezed(total[at[x:y]]), 0, 0) for r, x, y in zip(rows, bounds, bounds[1:])]
+    own[0] = (*own[0][:4], int((total > 0).sum()), int(total.sum()))
+    return _table(ANSWERS, own)
+
+
+def _merge(contexts: int):
+    def merge(requests: pa.Table) -> pa.Table:
+        rows = requests.to_pylist()
+        keys, at = np.unique(np.concatenate([_asked(r) for r in rows]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([_unsqueezed(r["n"], "<i8") for r in rows]), len(keys)).astype(np.int64)
+        at, spans = _split(_context_buckets(keys, contexts))
+        return _table(MERGED, [(k, rows[0]["bucket"], _squeezed(keys[at[x:y]]), _squeezed(n[at[x:y]])) for k, x, y in spans])
+
+    return merge
+
+
+def _second_order(merged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of order 2 in the trie and their counts: at most 2 ** 24 numbers, as many as byte triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in batches:
+            for k, c in zip(b.column("keys").to_pylist(), b.column("n").to_pylist()):
+                keys, at = np.unique(np.concatenate([keys, _unsqueezed(k, "<u8") & np.uint64(0xFFFFFF)]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, _unsqueezed(c, "<i8")]), len(keys)).astype(np.int64)
+        seen = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys[seen].astype(np.int64)), pa.array(n[seen])], ["k", "n"])
+
+    rows = merged.select("keys", "n").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").toPandas()
+    return rows["k"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64)
+
+
+def _work_out(pairs: tuple[np.ndarray, np.ndarray], order: int, buckets: int):
+    def work_out(merged: pa.Table) -> pa.Table:
+        rows = merged.to_pylist()
+        keys, n = np.concatenate([_unsqueezed(r["keys"], "<u8") for r in rows]), np.concatenate([_unsqueezed(r["n"], "<i8") for r in rows])
+        at = np.argsort(keys)
+        keys = keys[at]
+        values = logs(keys, n[at], pairs, order)
+        at, spans = _split(_gram_buckets(keys, buckets))
+        return _table("bucket int, keys binary, n binary", [(k, _squeezed(keys[at[x:y]]), _squeezed(values[at[x:y]])) for k, x, y in spans])
+
+    return work_out
+
+
+def _look_up(requests: pa.Table, given: pa.Table) -> pa.Table:
+    rows = given.to_pylist()
+    keys, values = np.concatenate([_unsqueezed(r["keys"], "<u8") for r in rows]), np.concatenate([_unsqueezed(r["n"], "<f8") for r in rows])
+    at = np.argsort(keys)
+    keys, values = keys[at], values[at]
+    return _table(ANSWERS, [(GRAMS, r["bucket"], r["block"], _squeezed(values[np.searchsorted(keys, _asked(r))]), 0, 0) for r in requests.to_pylist()])
+
+
+def _score(order: int, buckets: int, n_all: int, v: int, ends: int):
+    floor = np.log10(n_all + 0.5 * (v + 1))
+    end_log = float(np.log10(ends + 0.5) - floor)
+
+    def score(own: pa.Table, given: pa.Table) -> pa.Table:
+        answers = sorted((r["kind"], r["bucket"], r["answers"]) for r in given.to_pylist())
+        out = []
+        for r in own.to_pylist():
+            data: list[bytes] = []
+            for text, sizes in zip(r["texts"][::2], r["texts"][1::2]):
+                text, cuts = _common.unsqueezed(text), np.cumsum(_unsqueezed(sizes, "<i8")).tolist()
+                data += [text[x:y] for x, y in zip([0, *cuts], cuts)]
+            texts = pa.array(data, pa.binary()).cast(pa.string())
+            rows, numbers, words = words_of(texts)
+            counts = _restored([_unsqueezed(a, "<i8") for k, _, a in answers if k == WORDS], _word_buckets(words, buckets))
+            word_logs = np.log10(counts + 0.5) - floor
+            n_tokens = np.bincount(rows, minlength=len(texts)) + 1
+            known = np.bincount(rows, counts[numbers] > 0, len(texts)).astype(np.int64) + (ends > 0)
+            base = np.bincount(rows, word_logs[numbers], len(texts)) + end_log
+            parts = [(start, len(part), grams_of(part, order)) for start, part in _parts(texts)]
+            keys = np.unique(np.concatenate([g[0] for _, _, g in parts]))
+            values = _restored([_unsqueezed(a, "<f8") for k, _, a in answers if k == GRAMS], _gram_buckets(keys, buckets))
+            sums = [np.bincount(docs, np.repeat(values[np.searchsorted(keys, g)], holders) * times, n) for _, n, (g, holders, docs, times) in parts]
+            out.append(pa.table([pa.array(r["doc_ids"], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(known), pa.array(np.full(len(texts), n_all)), pa.array(base), pa.array(np.concatenate(sums))], [x.split()[0] for x in SCORES.split(", ")]))
+        return pa.concat_tables(out)
+
+    return score
+
+
+def score_documents(docs: DataFrame, may_learn: Column, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text).
 
-    score is the log10 probability of the row's lower-cased words, joined by single spaces, and the
-    end. Null and empty texts are the end alone. Where nothing may be learned, all counts are zero
-    and every symbol is equally likely. Repeated rows get equal results and count as often as they
+    score is the log10 probability of the row's bytes, A-Z lower-cased and white space as it stands,
+    and the end. Null and empty texts are the end alone. Where nothing may be learned, all counts are
+    zero and every symbol is equally likely. Repeated rows get equal results and count as often as they
     stand; a null doc_id is never learned from; further columns are ignored.
     """
-    if order < 2:
-        raise ValueError("the order is 2 or more")
+    if not 2 <= order <= 5:
+        raise ValueError("the order is 2 to 5: a gram fits six bytes")
     spark = docs.sparkSession
     _common.ship(spark)
-    own = docs.select("doc_id", "text", F.coalesce(may_learn, F.lit(False)).alias("learn"))
-    size, ends, n_words, low = _survey(own)
-    blocks = max(1, -(-size // block_bytes))
-    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    n_all = n_words + ends
-    requests = own.groupBy("block").applyInArrow(lambda key, table: _ask(key[0].as_py(), table, order, blocks), REQUESTS)
-    answers = requests.groupBy("bucket").applyInArrow(lambda key, table: _answer(key[0].as_py(), table, low, order), ANSWERS)
-    answers = _common.written(answers, "answers", compression="zstd")
-    v = int(answers.agg(F.sum("distinct")).first()[0] or 0) + (ends > 0)
-
-    def score(key: tuple, table: pa.Table, values: pa.Table) -> pa.Table:
-        return _score(table, values, order, blocks, (n_all, v, ends))
-
-    return own.select("block", "doc_id", "learn", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(may_learn, F.lit(False)).alias("learn"))
+    size, ends = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("learn")).first()
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    staged = _stage(own, order, buckets)
+    asks = {kind: staged.where(F.col("kind") == kind).select("bucket", "block", "keys", "n") for kind in (WORDS, GRAMS)}
+    words = _common.written(asks[WORDS].groupBy("bucket").applyInArrow(_count_words, ANSWERS), "words")
+    v, n_words = words.agg(F.sum("distinct"), F.sum("total")).first()
+    merged = _common.written(asks[GRAMS].groupBy("bucket").applyInArrow(_merge(min(CONTEXTS, buckets)), MERGED), "merged")
+    pairs = _second_order(merged)
+    values = merged.groupBy("context").applyInArrow(_work_out(pairs, order, buckets), "bucket int, keys binary, n binary")
+    grams = asks[GRAMS].groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_look_up, ANSWERS)
+    answers = words.unionByName(grams).groupBy("block")
+    texts = staged.where("kind is null").select("block", "doc_ids", "texts").groupBy("block")
+    return texts.cogroup(answers).applyInArrow(_score(order, buckets, (n_words or 0) + ends, (v or 0) + (ends > 0), ends), SCORES)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
