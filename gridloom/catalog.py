@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import library as L
+from .functions import macros
 from .operators import cube, lookups
 from .plans.compiler import compile_graph, evaluate, type_of_column
 from .plans.graph import NUMBER, Graph, from_formulas
@@ -119,21 +120,27 @@ def _horner(x: str, c: tuple) -> str:
     return reduce(lambda acc, k: f"({acc} * {x} + ({k!r}))", reversed(c[:-1]), f"({c[-1]!r})")
 
 
+# Published coefficients, written out so that the library's own are tested.
+_SQL_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+_SQL_A = (2.50662827745924, -30.6647980661472, 138.357751867269, -275.928510446969, 220.946098424521, -39.6968302866538)
+_SQL_B = (1.0, -13.2806815528857, 66.8013118877197, -155.698979859887, 161.585836858041, -54.4760987982241)
+_SQL_C = (2.93816398269878, 4.37466414146497, -2.54973253934373, -2.40075827716184, -0.322396458041136, -0.00778489400243029)
+_SQL_D = (1.0, 3.75440866190742, 2.445134137143, 0.32246712907004, 0.00778469570904146)
 _Z = "((d - 0.05) * 40)"
 _TT = f"(1 / (1 + abs({_Z}) / sqrt(2) / 2))"
-_TAIL = f"({_TT} * exp(-{_Z} * {_Z} / 2 + {_horner(_TT, L._ERFC)}) / 2)"
+_TAIL = f"({_TT} * exp(-{_Z} * {_Z} / 2 + {_horner(_TT, _SQL_ERFC)}) / 2)"
 _P = "(0.001 + d * 9.9)"
 _Q = "sqrt(-2 * ln({x}))"
 
 
 def _tail(x: str) -> str:
     q = _Q.format(x=x)
-    return f"({_horner(q, L._C)} / {_horner(q, L._D)})"
+    return f"({_horner(q, _SQL_C)} / {_horner(q, _SQL_D)})"
 
 
 _CQ = f"({_P} - 0.5)"
 formulas("normsdist", "lineitem", {"v": ("NORMSDIST((d - 0.05) * 40)", f"CASE WHEN {_Z} < 0 THEN {_TAIL} ELSE 1 - {_TAIL} END")})
-formulas("normsinv", "lineitem", {"v": ("NORMSINV(0.001 + d * 9.9)", f"CASE WHEN {_P} < 0.02425 THEN {_tail(_P)} WHEN {_P} > 0.97575 THEN -{_tail(f'(1 - {_P})')} ELSE {_horner(f'({_CQ} * {_CQ})', L._A)} * {_CQ} / {_horner(f'({_CQ} * {_CQ})', L._B)} END")})
+formulas("normsinv", "lineitem", {"v": ("NORMSINV(0.001 + d * 9.9)", f"CASE WHEN {_P} < 0.02425 THEN {_tail(_P)} WHEN {_P} > 0.97575 THEN -{_tail(f'(1 - {_P})')} ELSE {_horner(f'({_CQ} * {_CQ})', _SQL_A)} * {_CQ} / {_horner(f'({_CQ} * {_CQ})', _SQL_B)} END")})
 
 # Functions that SQL spells differently, on the table's own keys ---------------------------------
 
@@ -303,6 +310,42 @@ def macro_multi_output(spark, sf_dir):
     return out.select("k", "n", F.round("diff", 4).alias("diff"), F.round("rest", 4).alias("rest"))
 
 
+_CALLS = {
+    "ABS": "100 - p", "CEILING": "100 - p, 7", "FLOOR": "100 - p, 7", "EVEN": "q - 20", "ODD": "q - 20", "INT": "20 - p", "TRUNC": "20 - p, 1", "MOD": "20 - q, 7", "ROUND": "20 - p, 1", "ROUNDDOWN": "20 - p, 1", "ROUNDUP": "20 - p, 1",
+    "COMBIN": "q + 7, 3", "PERMUT": "q + 7, 3", "EXP": "q / 10", "LN": "p", "LOG10": "p", "FISHER": "d", "FISHERINV": "d", "NORMSDIST": "d * 20 - 1", "NORMSINV": "0.01 + d * 9",
+    "ISLEAPYEAR": "1990 + q", "DATE": "1990 + q, n, 28", "YEAR": "t", "MONTH": "t", "DAY": "t", "TIME": "n, q, 15", "HOUR": "t", "MINUTE": "t", "SECOND": "t", "DAYS360": "t, t + q * 40, TRUE", "YEARFRAC": "t, t + q * 40, 3",
+    "FV": "r, n + 3, -100, p, 1", "PV": "r, n + 3, -100, p, 1", "PMT": "r, n + 3, p, 100, 1", "IPMT": "r, 2, n + 3, p, 100, 1", "PPMT": "r, 2, n + 3, p, 100, 1", "NPER": "r, -p, p * 5, 0, 1", "SLN": "p, p / 10, n", "SYD": "p, p / 10, n + 3, 2",
+}
+
+
+@query("macro_library", "SELECT name, count(*) AS agree FROM lineitem CROSS JOIN (VALUES " + ", ".join(f"('{n}')" for n in _CALLS) + ") AS f(name) GROUP BY name")
+def macro_library(spark, sf_dir):
+    """Each function as a macro agrees with its native column within 0.01 (relative beyond 1) on every row."""
+    df = read_table(spark, sf_dir, "lineitem").selectExpr("l_extendedprice AS p", "l_quantity AS q", "l_discount AS d", "CAST(l_linenumber AS DOUBLE) AS n", "0.01D + l_discount AS r", "datediff(CAST(l_shipdate AS DATE), DATE'1899-12-30') + l_quantity / 100 + 0.003D AS t")
+    columns, same = {c: type_of_column(t) for c, t in df.dtypes}, []
+    for name, call in _CALLS.items():
+        graph = from_formulas({f"{name}_": f"{name}({call})"})
+        native = compile_graph(graph, columns).apply(df, keep=False)
+        df = compile_graph(graph, columns).apply(df)
+        df = df.withColumnRenamed(native.columns[-1], f"native_{name}")
+        df = compile_graph(graph, columns, macros.library().use_macro(name)).apply(df).withColumnRenamed(native.columns[-1], f"macro_{name}")
+        a, b = F.col(f"native_{name}"), F.col(f"macro_{name}")
+        same.append(F.count_if(F.abs(a - b) <= 0.01 * F.greatest(F.lit(1.0), F.abs(a))).alias(name))
+    one = df.agg(*same)
+    return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, _CALLS)), F.array(*_CALLS))).alias("name", "agree"))
+
+
+_FRAMES = "CASE WHEN l_linenumber <= 2 THEN {0} WHEN l_linenumber <= 4 THEN {1} ELSE {2} END"
+
+
+@query("table_lookups", f"SELECT l_orderkey AS k, l_linenumber AS n, {_FRAMES.format(10e0, 20e0, 30e0)} AS v, {_FRAMES.format(chr(39) + 'a' + chr(39), chr(39) + 'b' + chr(39), chr(39) + 'c' + chr(39))} AS t, {_FRAMES.format(1e0, 2e0, 3e0)} AS h, CASE WHEN l_linenumber = 3 THEN 20e0 WHEN l_linenumber = 1 THEN 10e0 WHEN l_linenumber = 5 THEN 30e0 END AS e FROM lineitem")
+def table_lookups(spark, sf_dir):
+    """VLOOKUP with and without its fourth argument, in text columns, and HLOOKUP."""
+    df = read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS n")
+    table = '{1, 10, "a"; 3, 20, "b"; 5, 30, "c"}'
+    return evaluate(df, {"v": f"VLOOKUP(n, {table}, 2)", "t": f"VLOOKUP(n, {table}, 3, TRUE)", "h": "HLOOKUP(n, {1, 3, 5; 1, 2, 3}, 2)", "e": f"VLOOKUP(n, {table}, 2, FALSE)"})
+
+
 def _checked(spark, sf_dir) -> tuple[DataFrame, Graph]:
     """Line items whose expected balance is wrong on every tenth order."""
     graph = from_formulas({"av_bal": _AVERAGE})
@@ -339,12 +382,13 @@ def _sales(spark, sf_dir) -> DataFrame:
 
 
 def _hierarchy(spark, sf_dir) -> DataFrame:
-    s = _sales(spark, sf_dir)
-    row = lambda d, code, parent: s.select(F.lit(d).alias("dimension"), code.alias("code"), code.alias("description"), parent.alias("parent")).distinct()
+    """All members from one pass over the sales."""
+    member = lambda d, code, parent: F.struct(F.lit(d).alias("dimension"), code.alias("code"), code.alias("description"), parent.alias("parent"))
     lit, col = F.lit, F.col
     tops = spark.createDataFrame([("Geography", "Top_Geography", "Top_Geography", None), ("Time", "Top_Time", "Top_Time", None), ("Geography", "World", "World", "Top_Geography")], "dimension string, code string, description string, parent string")
-    parts = [row("Geography", col("region"), lit("World")), row("Geography", col("nation"), col("region")), row("Time", col("yr"), lit("Top_Time")), row("Time", col("mon"), col("yr"))]
-    return cube.settled(cube.levels(cube.settled(reduce(DataFrame.unionByName, [tops, *parts]))))
+    each = F.array(member("Geography", col("region"), lit("World")), member("Geography", col("nation"), col("region")), member("Time", col("yr"), lit("Top_Time")), member("Time", col("mon"), col("yr")))
+    own = _sales(spark, sf_dir).select(F.explode(each).alias("m")).select("m.*").distinct()
+    return cube.levels(cube.settled(tops.unionByName(own)))
 
 
 def _report(spark, sf_dir) -> DataFrame:
@@ -451,6 +495,57 @@ def cube_query_set(spark, sf_dir):
     return cube.query_set(h, {"Geography": [*asia, "EUROPE"], "Time": ["1995"]})
 
 
+_NAMED = {"rowsDim1": "Geography", "rowsDim2": "Time"}
+
+
+def _extract(spark, sf_dir, where: str = "true") -> DataFrame:
+    """The report as a spreadsheet shows it: parents above children, places outside, times inside."""
+    s = _sales(spark, sf_dir)
+    at = lambda path, code, level: F.struct(path.alias("path"), code.alias("code"), F.lit(level).alias("level"))
+    place = F.array(at(F.lit("World"), F.lit("World"), 1), at(F.concat_ws("/", F.lit("World"), "region"), F.col("region"), 2), at(F.concat_ws("/", F.lit("World"), "nation"), F.col("nation"), 3))
+    time = F.array(at(F.col("yr"), F.col("yr"), 1), at(F.concat_ws("/", "yr", "mon"), F.col("mon"), 2))
+    rows = s.where(where).select(F.explode(place).alias("g"), "yr", "mon", "v").select("g", F.explode(time).alias("t"), "v").groupBy("g", "t").agg(F.sum("v").alias("value"))
+    named = [c.alias(f"{p}_{n}") for p, x in (("rowsDim1", "g"), ("rowsDim2", "t")) for n, c in (("code", F.col(f"{x}.code")), ("description", F.col(f"{x}.code")), ("rel_level", F.col(f"{x}.level")))]
+    return rows.select(F.concat_ws("\x01", "g.path", "t.path").alias("at"), *named, "value")
+
+
+@query("cube_parents", _H + " SELECT dimension, code, parent, level FROM h")
+def cube_parents(spark, sf_dir):
+    """Parents from the order and levels of a report's rows."""
+    return cube.build_hierarchy(_extract(spark, sf_dir), "at", _NAMED).select("dimension", "code", "parent", "level")
+
+
+@query("cube_found", _SQL["cube_flatten"])
+def cube_found(spark, sf_dir):
+    """A report alone becomes a star table."""
+    return cube.found(_extract(spark, sf_dir), "at", _NAMED)["flattened"].withColumn("value", F.round("value", 2))
+
+
+def _founding(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(a cube without the nations of ASIA, the report of ASIA to be added)."""
+    whole = _extract(spark, sf_dir)
+    asia = F.col("rowsDim1_code").startswith("ASIA/")
+    return cube.found(whole.where(~asia), "at", _NAMED), whole.where(asia | F.col("rowsDim1_code").isin("World", "ASIA"))
+
+
+@query("cube_assign", """SELECT * FROM (VALUES ('rowsDim1', 'Geography'), ('rowsDim2', 'Time')) AS t(prefix, dimension)""")
+def cube_assign(spark, sf_dir):
+    founded, more = _founding(spark, sf_dir)
+    return spark.createDataFrame(list(cube.assign_dimensions(more, founded["hierarchy"]).items()), "prefix string, dimension string")
+
+
+@query("cube_increment", _SQL["cube_atomic"])
+def cube_increment(spark, sf_dir):
+    """The atoms of a cube that grew are those of the whole."""
+    founded, more = _founding(spark, sf_dir)
+    return cube.increment(founded, more, "at")["atomic"].select(*_DIMS, F.round("value", 2).alias("value"))
+
+
+@query("cube_ranks", _H + """, p AS (SELECT code, CASE level WHEN 0 THEN code WHEN 1 THEN 'Top_Geography/' || code WHEN 2 THEN 'Top_Geography/World/' || code ELSE 'Top_Geography/World/' || parent || '/' || code END AS path FROM h WHERE dimension = 'Geography') SELECT code, CAST(row_number() OVER (ORDER BY path DESC) AS INT) AS rank FROM p""")
+def cube_ranks(spark, sf_dir):
+    return cube.ranks(_hierarchy(spark, sf_dir), "Geography")
+
+
 # Windows in time -----------------------------------------------------------------------------------
 
 

@@ -303,6 +303,10 @@ def vlookup(v: Column, keys: Column, results: Column, approximate: bool = True)
     return index(results, match(v, keys, 1 if approximate else 0))
 
 
+def vector_lookup(v: Column, keys: Column, results: Column, approximate: Column) -> Column:
+    return F.when(approximate, vlookup(v, keys, results)).otherwise(vlookup(v, keys, results, False))
+
+
 # Dates --------------------------------------------------------------------------------------
 
 

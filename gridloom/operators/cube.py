@@ -31,11 +31,20 @@ def settled(df: DataFrame) -> DataFrame:
     """A hierarchy as literal rows where a count shows few members: its plan ends there, and the
     planner knows its size when it chooses joins. A larger one stays as it is, kept in storage."""
     rows = df.limit(BROADCAST_MEMBERS + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= BROADCAST_MEMBERS else df.persist()
+    return literal_rows(df, rows) if len(rows) <= BROADCAST_MEMBERS else df.persist()
+
+
+def literal_rows(df: DataFrame, rows: list) -> DataFrame:
+    """The rows as a table that remembers them, so that no later step collects it again."""
+    out = df.sparkSession.createDataFrame(rows, df.schema)
+    out._members = rows
+    return out
 
 
 def _members(hierarchy: DataFrame) -> list | None:
     """The rows of a hierarchy that a count shows to be small, else None."""
+    if (known := getattr(hierarchy, "_members", None)) is not None:
+        return known
     rows = hierarchy.limit(BROADCAST_MEMBERS + 1).collect()
     return rows if len(rows) <= BROADCAST_MEMBERS else None
 
@@ -197,7 +206,8 @@ def required(fact: DataFrame, hierarchy: DataFrame, dims: list[str]) -> DataFram
 
 def ancestors(hierarchy: DataFrame, dimension: str, most: int = 50) -> DataFrame:
     """code, ancestor, level (of the ancestor): each member's ancestors and itself. CubeError where a chain has more than ``most`` ancestors."""
-    if (rows := _members(hierarchy.where(F.col("dimension") == dimension))) is not None:
+    if (rows := _members(hierarchy)) is not None:
+        rows = [r for r in rows if r["dimension"] == dimension]
         up, out = {r["code"]: (r["parent"], r["level"]) for r in rows}, []
         for code in up:
             above, n = code, 0
@@ -256,8 +266,9 @@ def atomic(fact: DataFrame, hierarchy: DataFrame, dims: list[str], tolerance: fl
 
 
 def conflicts(old: DataFrame, new: DataFrame, dims: list[str], tolerance: float = TOLERANCE) -> DataFrame:
-    """Keys that both have with values apart."""
-    return old.withColumnRenamed("value", "old_value").join(new.withColumnRenamed("value", "new_value"), dims).where(F.abs(F.col("old_value") - F.col("new_value")) > tolerance)
+    """Keys that both have with values apart; a missing value is apart from a number."""
+    apart = F.coalesce(F.abs(F.col("old_value") - F.col("new_value")) > tolerance, F.col("old_value").isNull() != F.col("new_value").isNull())
+    return old.withColumnRenamed("value", "old_value").join(new.withColumnRenamed("value", "new_value"), dims).where(apart)
 
 
 def new_facts(old: DataFrame, new: DataFrame, dims: list[str], tolerance: float = TOLERANCE) -> DataFrame:

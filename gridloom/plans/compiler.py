@@ -32,7 +32,7 @@ class CompileReport:
         return json.dumps({k: v for k, v in vars(self).items()})
 
     def used(self, rules: RuleSet) -> RuleSet:
-        return RuleSet({n: s for n, s in rules.signatures.items() if n in self.functions}, [t for t in rules.transforms if t.name in self.transforms], rules.protects, {n: g for n, g in rules.macros.items() if g.name in self.macros})
+        return RuleSet({n: s for n, s in rules.signatures.items() if n in self.functions}, [t for t in rules.transforms if t.name in self.transforms], rules.protects, {n: g for n, g in rules.macros.items() if g.name in self.macros}, {})
 
 
 def safe_name(name: str, used: set[str] | None = None) -> str:

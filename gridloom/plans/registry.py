@@ -70,6 +70,7 @@ class RuleSet:
     transforms: list = field(default_factory=list)
     protects: list = field(default_factory=list)
     macros: dict[str, object] = field(default_factory=dict)
+    idle: dict[str, object] = field(default_factory=dict)  #: macros whose names stay native
 
     def function(self, name: str, inputs: tuple[str, ...], output: str, build: Callable | None, source: str = "user") -> RuleSet:
         self.signatures.setdefault(name.upper(), []).insert(0 if source == "user" else len(self.signatures.get(name.upper(), [])), Signature(tuple(inputs), output, build, source))
@@ -80,35 +81,75 @@ class RuleSet:
 
     def merge(self, over: RuleSet) -> RuleSet:
         names = {**self.signatures, **over.signatures}
-        return RuleSet({n: over.signatures.get(n, []) + self.signatures.get(n, []) for n in names}, over.transforms + self.transforms, over.protects + self.protects, {**self.macros, **over.macros})
-
-    def add_macro(self, name: str, graph) -> RuleSet:
-        """A function that is a graph; its inputs are its arguments in order."""
-        macros = {**self.macros, name.upper(): graph}
+        macros = {n: g for n, g in self.macros.items() if n not in over.idle} | over.macros
+        idle = {n: g for n, g in (self.idle | over.idle).items() if n not in macros}
+        return RuleSet({n: over.signatures.get(n, []) + self.signatures.get(n, []) for n in names}, over.transforms + self.transforms, over.protects + self.protects, macros, idle)
+
+    def add_macro(self, name: str, graph, active: bool = True) -> RuleSet:
+        """A function that is a graph; its inputs are its arguments in order. An inactive one waits beside the native function."""
+        self.idle[name.upper()] = graph
+        return self.use_macro(name) if active else self
+
+    def use_macro(self, *names: str) -> RuleSet:
+        """Let macros stand for their functions; GraphError, and nothing changed, if they form a circle."""
+        missing = [n for n in names if n.upper() not in self.idle and n.upper() not in self.macros]
+        if missing:
+            raise GraphError(f"there is no macro {', '.join(missing)}")
+        macros = self.macros | {n.upper(): self.idle[n.upper()] for n in names if n.upper() in self.idle}
         check_macros(macros)
         self.macros = macros
+        self.idle = {n: g for n, g in self.idle.items() if n not in macros}
+        return self
+
+    def use_native(self, *names: str) -> RuleSet:
+        """Let the native columns stand for these functions again."""
+        for n in names:
+            if n.upper() in self.macros:
+                self.idle[n.upper()] = self.macros.pop(n.upper())
         return self
 
     def to_json(self) -> str:
-        """Signatures (without builders), macros and rewrites."""
-        return json.dumps({"signatures": {n: [{"inputs": s.inputs, "output": s.output, "coded": s.build is not None, "source": s.source} for s in v] for n, v in self.signatures.items()}, "macros": {n: g.to_json() for n, g in self.macros.items()}, "transforms": [{"name": t.name, "from": t.pattern.to_json(), "to": t.target.to_json()} for t in self.transforms]})
+        """Signatures (without builders), macros in use and idle, rewrites with their protected patterns."""
+        graphs = lambda m: {n: g.to_json() for n, g in m.items()}
+        transforms = [{"name": t.name, "from": t.pattern.to_json(), "to": t.target.to_json(), "protect": [p.to_json() for p in t.protect]} for t in self.transforms]
+        return json.dumps({"signatures": {n: [{"inputs": s.inputs, "output": s.output, "coded": s.build is not None, "source": s.source} for s in v] for n, v in self.signatures.items()}, "macros": graphs(self.macros), "idle": graphs(self.idle), "transforms": transforms, "protects": [p.to_json() for p in self.protects]})
 
     @classmethod
     def from_json(cls, text: str, builders: RuleSet | None = None) -> RuleSet:
-        """Signatures get their builders from ``builders`` where it has equal ones."""
+        """Signatures get their builders from ``builders`` where it has equal ones.
+
+        Signatures may also be in the wide form: a list of outputs, and text for code generators, which is ignored.
+        """
         from .graph import Graph
         from .rewrite import Transform
 
         d, out = json.loads(text), cls()
-        for n, v in d["signatures"].items():
+        for n, v in d.get("signatures", {}).items():
             for s in v:
-                known = next((b.build for b in (builders or cls()).signatures.get(n, []) if b.inputs == tuple(s["inputs"])), None)
-                out.signatures.setdefault(n, []).append(Signature(tuple(s["inputs"]), s["output"], known, s["source"]))
-        out.macros = {n: Graph.from_json(g) for n, g in d["macros"].items()}
-        out.transforms = [Transform(t["name"], Graph.from_json(t["from"]), Graph.from_json(t["to"])) for t in d["transforms"]]
+                known = next((b.build for b in (builders or cls()).signatures.get(n.upper(), []) if b.inputs == tuple(s["inputs"])), None)
+                output = s["output"] if "output" in s else s["outputs"][0]
+                out.signatures.setdefault(n.upper(), []).append(Signature(tuple(s["inputs"]), output, known, s.get("source", "file")))
+        out.macros = {n: Graph.from_json(g) for n, g in d.get("macros", {}).items()}
+        out.idle = {n: Graph.from_json(g) for n, g in d.get("idle", {}).items()}
+        own = [t for t in d.get("transforms", []) if isinstance(t, dict) and "from" in t]  # the wide form's are files of their own
+        out.transforms = [Transform(t["name"], Graph.from_json(t["from"]), Graph.from_json(t["to"]), tuple(map(Graph.from_json, t.get("protect", [])))) for t in own]
+        out.protects = list(map(Graph.from_json, d.get("protects", [])))
         return out
 
 
+def prepared(mode: str, libraries: RuleSet, language: RuleSet | None = None, own: RuleSet | None = None) -> RuleSet:
+    """The rules of one calculation. build: language over libraries; supplement: its own over both;
+    complete: its own alone."""
+    if mode not in ("build", "supplement", "complete"):
+        raise ValueError(f"there is no mode {mode}")
+    if (mode != "complete" and language is None) or (mode != "build" and own is None):
+        raise ValueError(f"rules are missing for mode {mode}")
+    if mode == "complete":
+        return own
+    built = libraries.merge(language)
+    return built if mode == "build" else built.merge(own)
+
+
 def check_macros(macros: dict) -> None:
     """GraphError if macros call each other in a circle."""
     uses = {n: {x.name for x in g.nodes.values() if x.kind == "function" and x.name in macros} for n, g in macros.items()}
@@ -208,6 +249,10 @@ def standard() -> RuleSet:
         f(name, (many(N),), N, fn)
         if name in ("MIN", "MAX"):
             f(name, (many(D),), D, fn)
+    for t in SCALARS:
+        for u in SCALARS:
+            # What VLOOKUP and HLOOKUP become once their table is cut into vectors.
+            f("VECTOR_LOOKUP", (t, array(t), array(u), B), u, L.vector_lookup)
     f("PERCENTILE", (array(N), N), N, L.array_percentile)
     f("PERCENTRANK", (array(N), N), N, L.array_percent_rank)
     f("SUMPRODUCT", (many(array(N)),), N, L.sum_product)

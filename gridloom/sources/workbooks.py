@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import json
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Collection
 from dataclasses import replace
 from pathlib import Path
 
 from ..plans.graph import ANY, BOOLEAN, DATE, NUMBER, RANGE, TEXT, Graph, GraphError, Node
 from ..plans.registry import RuleSet
-from ..plans.rewrite import Transform
+from ..plans.rewrite import Transform, type_of
 
 _CODES = {"0": TEXT, "1": NUMBER, "2": BOOLEAN, "3": DATE, "4": RANGE, "5": ANY}
 _TABLE_COLUMN = re.compile(r"\w+\[[^\]]+\]")
@@ -126,15 +128,43 @@ def read_workbook(source: str | Path) -> Graph:
     return g
 
 
-def read_macros(folder: str | Path, rules: RuleSet | None = None) -> RuleSet:
-    """Every workbook of a folder as a function of its name; circles are an error."""
+def read_macros(folder: str | Path, rules: RuleSet | None = None, native: Collection[str] = ()) -> RuleSet:
+    """Every workbook of a folder as a function of its name; circles are an error.
+
+    Names in ``native`` (such as ``standard().signatures``) stay with their native columns until
+    ``use_macro`` says otherwise, so a library whose functions call each other in circles can be loaded whole.
+    """
     rules = rules or RuleSet()
     for path in sorted(Path(folder).iterdir()):
         if path.suffix.lower() == ".xml":
-            rules.add_macro(path.stem.upper(), replace(read_workbook(path), name=path.stem.upper()))
+            name = path.stem.upper()
+            rules.add_macro(name, replace(read_workbook(path), name=name), active=name not in native)
     return rules
 
 
+def read_signatures(folder: str | Path, builders: RuleSet) -> RuleSet:
+    """The signature files (func_sig_*.json) of a folder; builders come from rules that have them."""
+    out = RuleSet()
+    for path in sorted(Path(folder).glob("func_sig_*.json")):
+        data = json.loads(path.read_text())
+        own = RuleSet.from_json(json.dumps(data if "signatures" in data else {"signatures": data}), builders)
+        for name, found in own.signatures.items():
+            have = out.signatures.setdefault(name, [])
+            have += [s for s in found if s.inputs not in {h.inputs for h in have}]
+    return out
+
+
+def convert_folder(source: str | Path, target: str | Path) -> list[str]:
+    """Write every workbook of a folder, of whatever version, as version 5; the names written."""
+    Path(target).mkdir(parents=True, exist_ok=True)
+    names = []
+    for path in sorted(Path(source).iterdir()):
+        if path.suffix.lower() == ".xml":
+            (Path(target) / path.name).write_text(write_workbook(read_workbook(path)))
+            names.append(path.name)
+    return names
+
+
 def read_transforms(folder: str | Path) -> list[Transform]:
     """Every workbook of a folder as a rewrite: its first output to its second; further ones are protected."""
     out = []
@@ -166,4 +196,10 @@ def write_workbook(graph: Graph) -> str:
             ET.SubElement(constants, "ConstantNode", NodeId=str(k), Type=n.type, Value=value)
     for i, (name, k) in enumerate(graph.outputs.items()):
         ET.SubElement(outputs, "Output", Id=str(i), Name=name, NodeId=str(k))
+    cases = ET.SubElement(root, "TestCases")
+    for given, wanted in graph.cases:
+        case = ET.SubElement(cases, "TestCase")
+        for tag, values in (("InputValue", given), ("OutputValue", wanted)):
+            for v in values:
+                ET.SubElement(case, tag, Value=v.strftime("%m/%d/%Y") if isinstance(v, datetime.date) else str(v), Type=type_of(v))
     return ET.tostring(root, encoding="unicode")

@@ -21,7 +21,7 @@ def atomic_stream(facts: DataFrame, hierarchy: DataFrame, dims: list[str]) -> Da
 
 def merge_stream(facts: DataFrame, hierarchy: DataFrame, dims: list[str], path: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch's atoms merged into a Parquet table of versions; a batch that runs again writes
-    its own version again, so nothing counts twice."""
+    its own version again, so nothing counts twice. The two latest versions stay."""
     spark = facts.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -29,6 +29,8 @@ def merge_stream(facts: DataFrame, hierarchy: DataFrame, dims: list[str], path:
         if number:
             own = cube.merge_atomic(spark.read.parquet(f"{path}/version={number - 1}"), own, dims)
         own.write.mode("overwrite").parquet(f"{path}/version={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return facts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -8,14 +8,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import library as L
+from gridloom.functions import macros
 from gridloom.operators import lookups
 from gridloom.plans.compiler import compile_graph, evaluate, marked, safe_name
 from gridloom.plans.graph import Graph, GraphError, from_formulas
-from gridloom.plans.registry import RuleSet, check_macros, fits, standard
+from gridloom.plans.registry import RuleSet, check_macros, fits, prepared, standard
 from gridloom.plans.rewrite import Transform, UnsupportedFunctionError, constant_parts, drop_constant_conditions, lookup_transforms, match, rewrite
 from gridloom.plans.verify import accuracy, case_table, mismatches, predict, verify
 from gridloom.sources.tables import from_rows, read_csv, write_csv
-from gridloom.sources.workbooks import read_macros, read_transforms, read_workbook, write_workbook
+from gridloom.sources.workbooks import convert_folder, read_macros, read_signatures, read_transforms, read_workbook, write_workbook
 
 
 def value(spark, formula, tables=None, **inputs):
@@ -262,3 +263,71 @@ def test_csv(spark, tmp_path):
     write_csv(df, str(tmp_path / "out"), single=True)
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "out"), "code string, value double").collect()] == [("2023", 1.5)]
     assert len(list((tmp_path / "out").glob("*.csv"))) == 1
+
+
+def test_macro_switch_and_rule_files(spark):
+    rules = macros.library()
+    with pytest.raises(GraphError):
+        rules.use_macro("LN", "LOG10")
+    assert not rules.macros and len(rules.idle) == 39
+    rules.use_macro("LN", "ABS")
+    df = spark.createDataFrame([(2.0,)], "x double")
+    again = RuleSet.from_json(standard().merge(rules).to_json(), standard())
+    assert set(again.macros) == {"LN", "ABS"} and len(again.idle) == 37
+    assert evaluate(df, {"o": "LN(x)"}, rules=again).first()["o"] == pytest.approx(math.log(2), abs=1e-9)
+    assert "LN" in standard().merge(rules).merge(RuleSet(idle={"LN": rules.macros["LN"]})).idle
+    rules.use_native("LN")
+    assert set(rules.macros) == {"ABS"}
+    with pytest.raises(GraphError):
+        rules.use_macro("NOSUCH")
+    safe = RuleSet.from_json(RuleSet(transforms=[t for t in lookup_transforms() if t.name == "max_leq"]).to_json())
+    g = from_formulas({"o": "MAX((k <= v) * r)"}, inputs={"k": "ARRAY[Number]", "v": "Number", "r": "ARRAY[Number]"})
+    assert rewrite(g, standard().merge(safe)).text(0) is not None and len(safe.transforms[0].protect) == 1
+
+
+def test_override_modes():
+    one = lambda v: RuleSet().function("F", ("Number",), "Number", lambda x: x * v)
+    first = lambda r: r.signatures["F"][0].build(1)
+    low, language, own = one(1), one(2), one(3)
+    assert first(prepared("build", low, language)) == 2 and first(prepared("supplement", low, language, own)) == 3
+    assert prepared("complete", low, own=own) is own and len(prepared("supplement", low, language, own).signatures["F"]) == 3
+    for mode, given in (("build", {}), ("supplement", {"language": language}), ("complete", {}), ("other", {"language": language})):
+        with pytest.raises(ValueError):
+            prepared(mode, low, **given)
+
+
+def test_table_functions(spark):
+    table = '{1, 10, "a"; 3, 20, "b"; 5, 30, "c"}'
+    for formula, wanted in ((f"VLOOKUP(4, {table}, 2)", 20.0), (f"VLOOKUP(4, {table}, 3, FALSE)", None), (f"VLOOKUP(5, {table}, 3, FALSE)", "c"), (f"VLOOKUP(0, {table}, 2)", None), ("HLOOKUP(2, {1, 2; 7, 8; 9, 10}, 3)", 10.0), ("VLOOKUP(2, {1, 4; 2, 5}, 1 + 1)", 5.0)):
+        assert value(spark, formula) == wanted
+    for formula in (f"VLOOKUP(1, {table}, 9)", "VLOOKUP(1, 2, 1)"):
+        with pytest.raises(GraphError):
+            value(spark, formula)
+
+
+def test_folders(spark, tmp_path):
+    days = list(range(10))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "later.xml").write_text(book(days, [datetime.date(1973, 1, 1) + datetime.timedelta(k) for k in days]))
+    assert convert_folder(tmp_path / "in", tmp_path / "out") == ["later.xml"]
+    new = read_workbook(tmp_path / "out" / "later.xml")
+    assert tuple(verify(spark, new)[0].first()) == (10, 10, 10)
+    held = read_macros(tmp_path / "in", native={"LATER"})
+    assert "LATER" in held.idle and not held.macros
+    (tmp_path / "func_sig_a.json").write_text('{"signatures": {"SQRT": [{"inputs": ["Number"], "outputs": ["Number"], "operator": "x"}], "ODDITY": [{"inputs": ["Text"], "outputs": ["Text"]}]}}')
+    found = read_signatures(tmp_path, standard())
+    assert found.signatures["SQRT"][0].build is not None and found.signatures["ODDITY"][0].output == "Text"
+
+
+AGES = {"Ages": {"Birthday": [datetime.date(1976 + k, 9, 6) for k in range(50)], "Age": [float(k) for k in range(50)]}}
+
+
+@pytest.mark.parametrize("formula,inputs,wanted", [
+    ("d + n", {"d": datetime.date(1973, 1, 1), "n": -10.0}, datetime.date(1972, 12, 22)), ("d + n", {"d": datetime.date(2099, 10, 10), "n": 200.0}, datetime.date(2100, 4, 28)),
+    ("EOMONTH(d, n)", {"d": datetime.date(1973, 1, 1), "n": -15.0}, datetime.date(1971, 10, 31)), ("EOMONTH(d, n)", {"d": datetime.date(1950, 5, 1), "n": 9.0}, datetime.date(1951, 2, 28)),
+    ("LOOKUP(d, Ages[Birthday], Ages[Age])", {"d": datetime.date(1976, 12, 1)}, 0.0), ("LOOKUP(d, Ages[Birthday], Ages[Age])", {"d": datetime.date(1980, 9, 5)}, 3.0),
+    ("LOOKUP(d, Ages[Birthday], Ages[Age])", {"d": datetime.date(1980, 9, 6)}, 4.0), ("LOOKUP(d, Ages[Birthday], Ages[Age])", {"d": datetime.date(2024, 9, 6)}, 48.0),
+    ("b / (1 + r) / m", {"b": 1e6, "r": 0.0012, "m": 1.0}, 998801.438274071),
+])
+def test_known_workbooks(spark, formula, inputs, wanted):
+    assert value(spark, formula, AGES, **inputs) == (pytest.approx(wanted, abs=0.01) if isinstance(wanted, float) else wanted)
