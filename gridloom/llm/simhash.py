@@ -22,7 +22,9 @@ from .components import connected
 SHINGLE, SEED, NEAR = 3, 42, 3
 _GATHER = 400_000  #: rows of anchors that are compared at a time
 _DIRECT = 24  #: groups up to this size are compared by shifting the whole gathered block
-_SPLIT = 8192  #: groups beyond this size are split again, by bytes of the other half
+_SPLIT = 8192  #: groups beyond this size are split again
+_SAMPLED = 64  #: one of so many fingerprints tells which anchors are hot
+_HOT = 100_000  #: hot anchors that are split before the shuffle; others are split in their task
 
 
 def fingerprint(text: str | None) -> int:
@@ -87,6 +89,22 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def split_anchors(keys: np.ndarray, fps: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Copies at hot (sorted) anchors go to four keys each: the anchor and one byte of the other half.
+
+    Of four bytes at least one agrees in any linked pair. Keys that fall together do no harm, as all
+    that meets is compared.
+    """
+    if not len(hot):
+        return keys, fps
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    split = hot[at] == keys
+    own, mine = keys[split], fps[split]
+    other = np.where((own >> np.uint64(32)) & np.uint64(1), mine, mine >> np.uint64(32)) & np.uint64(0xFFFFFFFF)
+    parts = [(own * np.uint64(4) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) ^ ((other >> np.uint64(8 * k)) & np.uint64(0xFF)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1 << 63) for k in range(4)]
+    return np.concatenate([keys[~split], *parts]), np.concatenate([fps[~split], *[mine] * 4])
+
+
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The components of edges as (node, smallest node of its component), without the roots."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -167,7 +185,8 @@ def links(distinct: DataFrame) -> DataFrame:
             for at in range(0, len(fps), 20_000):
                 part = fps[at : at + 20_000]
                 keys, own = anchors(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[own].view(np.int64))], ["anchor", "fp"])
+                keys, own = split_anchors(keys, part[own], hot)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own.view(np.int64))], ["anchor", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps, n = [], [], 0
@@ -187,11 +206,16 @@ def links(distinct: DataFrame) -> DataFrame:
             keys.append(b.column("anchor").to_numpy(zero_copy_only=False))
             fps.append(b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
             n += b.num_rows
-            if n >= _GATHER:
+            if n >= _GATHER and keys[0][0] != keys[-1][-1]:
                 yield from flush(False)
         if keys:
             yield from flush(True)
 
+    # Which anchors are hot, by a sample: this divides the work and decides nothing.
+    hot = np.zeros(0, np.uint64)
+    sample = distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(_SAMPLED)) == 0).mapInArrow(spread, "anchor long, fp long")
+    crowded = sample.groupBy("anchor").count().where(F.col("count") > _SPLIT / _SAMPLED).orderBy(F.desc("count")).limit(_HOT).select("anchor").collect()
+    hot = np.sort(np.array([r["anchor"] for r in crowded], np.int64).view(np.uint64))
     # Fingerprints are few bytes beside texts: spread them before each makes up to 34 rows.
     copies = distinct.select("fp").mapInArrow(spread, "anchor long, fp long")
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long")
