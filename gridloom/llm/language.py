@@ -7,7 +7,6 @@ language, lowest hash first), and a temperature is fitted on rows of the sample
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,6 @@ PER_LANGUAGE = 400  #: labelled rows of each language that the classifier is fit
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _SLICE = 1 << 20
-_NO_LETTER = re.compile(r"[\W\d_]*")
 
 
 def counts(text: str) -> np.ndarray:
@@ -52,7 +50,7 @@ def counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and not _NO_LETTER.fullmatch(text)
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -122,7 +120,7 @@ def fit(docs: DataFrame, label: Column, may_learn: Column, per_language: int = P
             for t in b.column("text").to_pylist():
                 c = counts(t)
                 at = np.flatnonzero(c)
-                rows.append((at.astype("<u2").tobytes(), np.minimum(c[at], 65535).astype("<u2").tobytes()))
+                rows.append((at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
             cols = list(zip(*rows)) if rows else [[], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label"), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], ["doc_id", "label", "at", "n"])
 
@@ -135,7 +133,7 @@ def fit(docs: DataFrame, label: Column, may_learn: Column, per_language: int = P
     rows = []
     for k in order:
         tf = np.zeros(BUCKETS, np.int64)
-        tf[np.frombuffer(sample["at"][k], "<u2")] = np.frombuffer(sample["n"][k], "<u2")
+        tf[np.frombuffer(sample["at"][k], "<u2")] = np.frombuffer(sample["n"][k], "<u4")
         rows.append((*model.features(tf), languages.index(sample["label"][k])))
     apart = rows[: len(rows) // 5]
     model.weights = ftrl(rows[len(apart) :], len(languages), epochs)
