@@ -8,7 +8,6 @@ of the whole span and the smallest hashes of all windows of WINDOW code points.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -65,6 +64,10 @@ class Prefixes:
             out = (out << np.uint64(31)) | d
         return out
 
+    def single(self, begin: int, end: int) -> tuple[int, ...]:
+        """The hash of one span, a number for each prime."""
+        return tuple((int(s[end]) - int(s[begin])) * int(back[begin]) % p for s, back, p in zip(self.sums, self.back, PRIMES))
+
     def windows(self, width: int) -> np.ndarray:
         """The hashes of all spans of that width, in order: one where the text is shorter."""
         if self.n <= width:
@@ -79,7 +82,14 @@ class Prefixes:
 def common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     """How many code points of a from i and of b from j agree: the last equal span, by binary search."""
     most = min(a.n - i, b.n - j)
-    return bisect.bisect_left(range(1, most + 1), True, key=lambda m: bool(a.span(i, i + m) != b.span(j, j + m)))
+    low = 0
+    while low < most:
+        m = (low + most + 1) // 2
+        if a.single(i, i + m) == b.single(j, j + m):
+            low = m
+        else:
+            most = m - 1
+    return low
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -87,9 +97,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) >> np.uint64(32)
 
 
-def sketch(points: np.ndarray, width: int = WINDOW, kept: int = KEPT) -> tuple[int, np.ndarray]:
+def sketch(prefixes: Prefixes, width: int = WINDOW, kept: int = KEPT) -> tuple[int, np.ndarray]:
     """(hash of the whole, up to ``kept`` smallest mixed hashes of windows, ascending and distinct)."""
-    prefixes = Prefixes(points)
     mixed = _mixed(prefixes.windows(width))
     if prefixes.n < 4 * width:  # a short text has few such windows
         mixed = np.concatenate([mixed, _mixed(prefixes.windows(SHORT))])
@@ -137,11 +146,13 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     after = {order[k]: order[k - 1] for k in range(len(order))}  # the range that this one follows; the first follows the last
 
     @F.pandas_udf("int")
-    def leads(ranges: pd.Series, ids: pd.Series) -> pd.Series:
-        """The range that needs this row as its end: rows of a range's highest doc_id only."""
-        return pd.Series([after[r] if tops[r] is None or i == tops[r] else None for r, i in zip(ranges, ids)], dtype="Int32")
+    def leads(ranges: pd.Series, ids: pd.Series, texts: pd.Series) -> pd.Series:
+        """The range that needs this row as its end: rows of a range's highest doc_id only, of null ids those of the first text."""
+        return pd.Series([after[r] if (tops[r] is None and t == first_text) or i == tops[r] else None for r, i, t in zip(ranges, ids, texts)], dtype="Int32")
 
-    halo = leads("range", "doc_id")
+    texts = F.coalesce(F.xxhash64("text"), F.lit(0))
+    first_text = docs.where("doc_id is null").agg(F.min_by(texts, F.struct(F.col("text").isNotNull(), "text"))).first()[0]
+    halo = leads("range", "doc_id", texts)
     spread = placed.withColumn("halo", halo).select(F.explode(F.when(F.col("halo").isNull(), F.array(F.struct("range", F.lit(True).alias("own")))).otherwise(F.array(F.struct("range", F.lit(True).alias("own")), F.struct(F.col("halo").alias("range"), F.lit(False).alias("own"))))).alias("at"), "doc_id", "text")
     return spread.select("at.range", "at.own", "doc_id", "text").repartitionById(n + 1, F.col("range") + 1).sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
 
@@ -149,13 +160,14 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Fingerprints of each text and of the text whose last third gives way to the next text's start.
 
-    The next document is that of the next lower doc_id (after the lowest: the highest). Null texts
+    near_*: the share of common windows, estimated; prefix_*: how many code points agree from the
+    start, exactly, by the longest common extension. The next document is that of the next lower doc_id (after the lowest: the highest). Null texts
     count as empty; rows of equal doc_id follow in the order of their texts; null doc_ids come
     last; a lone row follows itself; an empty table gives an empty one; further columns are ignored.
     """
     _common.ship(docs.sparkSession)
-    names = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, prefix_edited long, prefix_next long"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, over = None, False  # the row whose successor comes next; whether its range has had it
@@ -165,26 +177,40 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
                 if before is not None and before[0] == place and over:
                     continue  # a further row of the following range
                 text = text or ""
-                mark = sketch(code_points(text))
+                prefixes = Prefixes(code_points(text))
+                mark = sketch(prefixes)
                 if before is not None and before[0] == place:
-                    rows.append(_row(before[1:], text, mark))
+                    rows.append(_row(before[1:], text, prefixes, mark))
                 over = not own
-                before = (place, doc_id, text, mark)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], [x.split()[0] for x in names.split(", ")])
+                before = (place, doc_id, text, prefixes, mark)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], [x.split()[0] for x in names.split(", ")])
 
     return with_next(docs.select("doc_id", "text"), partitions).mapInArrow(run, names)
 
 
-def _row(own: tuple, next_text: str, next_mark: tuple) -> tuple:
-    doc_id, text, mark = own
+def _row(own: tuple, next_text: str, next_prefixes: Prefixes, next_mark: tuple) -> tuple:
+    doc_id, text, prefixes, mark = own
     n = len(text)
     edited = text[: n - n // 3] + next_text[: n // 3]
-    other = sketch(code_points(edited)) if edited != text else mark
-    return (doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), as_text(*mark), as_text(*other), likeness(mark, other), likeness(mark, next_mark))
+    others = Prefixes(code_points(edited)) if edited != text else prefixes
+    other = sketch(others) if edited != text else mark
+    shared = common_extension(prefixes, 0, others, 0), common_extension(prefixes, 0, next_prefixes, 0)
+    return (doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), as_text(*mark), as_text(*other), likeness(mark, other), likeness(mark, next_mark), *shared)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_common.documents(spark, sf_dir))
 
 
-QUERIES = {"op10_fingerprints": op10_fingerprints}
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the operator's rows: lengths, edited texts and what agrees with the next text."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256", "prefix_next")
+
+
+QUERIES = {"op10_fingerprints": op10_fingerprints, "edited_texts": edited_texts}
+
+ORACLES = {
+    "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT *, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS next FROM d WINDOW w AS (ORDER BY doc_id DESC))
+ SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 3) || left(next, n // 3)) AS edited_sha256,
+ coalesce(len(list_filter(range(1, least(n, length(next)) + 1), lambda k: left(t, k) = left(next, k))), 0) AS prefix_next FROM n"""
+}

@@ -356,4 +356,21 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op6_lm_score": op6_lm_score}
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the operator's rows: all but the trie's score."""
+    return op6_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+QUERIES = {"op6_lm_score": op6_lm_score, "base_scores": base_scores}
+
+_BIT = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+#: crc32 of a document's number as text, a byte and a bit at a time.
+_CRC = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: list_reduce(list_prepend(xor(a, x), list_transform(range(8), lambda i: CAST(0 AS BIGINT))), lambda c, i: {_BIT})))"
+
+ORACLES = {
+    "base_scores": f"""WITH d AS (SELECT doc_id, {_CRC} % 5 = 1 AS held_out, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+ t AS (SELECT doc_id, held_out, unnest(words) AS w FROM d UNION ALL SELECT doc_id, held_out, NULL FROM d),
+ c AS (SELECT w, count(*) FILTER (NOT held_out) AS n FROM t GROUP BY w), s AS (SELECT CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (n > 0) AS v FROM c)
+ SELECT t.doc_id, any_value(t.held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (c.n > 0) AS n_known, any_value(s.n) AS train_tokens, round(sum(log10((c.n + 0.5) / (s.n + 0.5 * (s.v + 1)))), 4) AS base_score
+ FROM t JOIN c ON t.w IS NOT DISTINCT FROM c.w CROSS JOIN s GROUP BY t.doc_id"""
+}

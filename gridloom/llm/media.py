@@ -163,4 +163,14 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(spark, path)
 
 
-QUERIES = {"op9_media": op9_media}
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the operator's rows: sizes and digests of what was read back."""
+    return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+QUERIES = {"op9_media": op9_media, "media_payloads": media_payloads}
+
+ORACLES = {
+    "media_payloads": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n FROM documents), p AS (SELECT *, greatest(192, (n + 191) // 192 * 192) AS size FROM d)
+ SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(text || repeat(' ', size - n)) AS payload_sha256 FROM p"""
+}

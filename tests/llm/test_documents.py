@@ -1,8 +1,10 @@
 """Near duplicates, fingerprints and media against brute force."""
 
 import hashlib
+import os
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +67,33 @@ def test_anchors_lose_no_link():
     assert all((a, b) in together for a, b in zip(i.tolist(), j.tolist()))
 
 
+def test_split_anchors_lose_no_link():
+    fps = near_prints()
+    keys, own = simhash.anchors(fps)
+    hot = np.unique(keys)[::2]
+    split, mine = simhash.split_anchors(keys, fps[own], hot)
+    assert len(split) > len(keys)
+    meet = {}
+    for k, f in zip(split.tolist(), mine.tolist()):
+        meet.setdefault(k, set()).add(f)
+    together = {(a, b) for s in meet.values() for a in s for b in s}
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= simhash.NEAR)
+    assert all((int(fps[a]), int(fps[b])) in together for a, b in zip(i, j))
+
+
+def test_links_with_hot_anchors(spark, monkeypatch):
+    """Every anchor that the sample shows is split before the shuffle; the components stay the same."""
+    monkeypatch.setattr(simhash, "_SPLIT", 1)
+    monkeypatch.setattr(simhash, "_SAMPLED", 2)
+    fps = near_prints()
+    wanted = brute_components(fps.view(np.int64).tolist(), lambda a, b: (a ^ b & (1 << 64) - 1).bit_count() <= 3 if (a < 0) == (b < 0) else ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long")).collect()
+    root = {x: x for x in fps.view(np.int64).tolist()}
+    found = {x: x for x in root} | {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    same = lambda of: {frozenset(k for k in of if of[k] == v) for v in set(of.values())}
+    assert same(found) == same(wanted)
+
+
 @pytest.mark.parametrize("split", [10, 8192])
 def test_links_within_large_groups(split, monkeypatch):
     monkeypatch.setattr(simhash, "_SPLIT", split)
@@ -124,6 +153,12 @@ def test_fingerprints(spark, partitions):
         wanted.append((r["doc_id"], len(t), hashlib.sha256(edited.encode()).hexdigest()))
     key = lambda x: (x[0] is None, x[0] or 0, x[2])
     assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found), key=key) == sorted(wanted, key=key)
+    shared = lambda a, b: len(os.path.commonprefix([a, b]))
+    prefixes = Counter()
+    for k, r in enumerate(rows):
+        t, nxt = r["text"] or "", rows[(k + 1) % len(rows)]["text"] or ""
+        prefixes[r["doc_id"], shared(t, t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]), shared(t, nxt)] += 1
+    assert Counter((r["doc_id"], r["prefix_edited"], r["prefix_next"]) for r in found) == prefixes
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found)
     long = next(r for r in found if r["n_chars"] > 100_000)
     assert 0.3 < long["near_edited"] < 0.8
@@ -132,6 +167,39 @@ def test_fingerprints(spark, partitions):
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
 
+def test_likeness_of_small_sketches_is_exact():
+    texts_ = ["the quick brown fox jumps ok", "the quick brown fox jumped up", "nothing alike in here", "", "ab"]
+    windows = lambda t: {(w, t[i : i + w]) for w in (fingerprints.WINDOW, fingerprints.SHORT) for i in range(max(1, len(t) - w + 1))}
+    whole = lambda t: {x for _, x in windows(t)}
+    marks = [fingerprints.sketch(fingerprints.Prefixes(fingerprints.code_points(t))) for t in texts_]
+    for a, m in zip(texts_, marks):
+        for b, n in zip(texts_, marks):
+            both = whole(a) | whole(b)
+            assert len(both) <= fingerprints.KEPT
+            assert fingerprints.likeness(m, n) == pytest.approx(len(whole(a) & whole(b)) / len(both))
+
+
+def test_many_null_ids(spark):
+    """Rows without doc_id follow one another, and only the first of them follows the lowest doc_id."""
+    rows = [(None, f"text {k % 40}") for k in range(200)] + [(k, f"own {k}") for k in range(30)]
+    found = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert len(found) == 230
+    ordered = [f"own {k}" for k in range(29, -1, -1)] + sorted(t for i, t in rows if i is None)
+    wanted = Counter()
+    for a, b in zip(ordered, [*ordered[1:], ordered[0]]):
+        wanted[hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest()] += 1
+    assert Counter(r["edited_sha256"] for r in found) == wanted
+
+
+def test_cosine_hash_by_hand():
+    samples = np.random.default_rng(4).integers(0, 256, (40, 192)).astype(np.uint8)
+    cuts = [k * 40 // 32 for k in range(32)] + [40]
+    small = [[np.mean([samples[y, 6 * x : 6 * x + 6].sum() for y in range(cuts[r], cuts[r + 1])]) for x in range(32)] for r in range(32)]
+    waves = [sum(small[y][x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for u in range(1, 9) for v in range(1, 9)]
+    bits = "".join("1" if w > np.median(waves) else "0" for w in waves)
+    assert media.cosine_hash(samples) == f"{int(bits, 2):016x}"
+
+
 def test_png_round_trip_and_damage():
     for t in texts():
         payload, n = media.pad(t)

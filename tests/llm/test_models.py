@@ -59,6 +59,89 @@ def test_temperature_fits():
     assert 2.5 < language.temperature(scored) < 5
 
 
+def test_letters():
+    assert not any(map(language.has_letter, [None, "", "12 !", "²½①", "_ 3"])) and all(map(language.has_letter, ["é", "1a", "日"]))
+
+
+def brute_ngrams(text):
+    clean = []
+    for c in f" {text.lower()} ":
+        c = c if c.isalpha() and c.isascii() or ord(c) > 127 else " "
+        if c != " " or not clean or clean[-1] != " ":
+            clean.append(c)
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(clean) - n + 1):
+            h = n * 0x27D4EB2F & 0xFFFFFFFF
+            for k, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[:n]):
+                h = (h ^ ord(clean[i + k])) * m & 0xFFFFFFFF
+            out[h >> 17] += 1
+    return out
+
+
+def test_language_by_hand():
+    """N-grams, TF-IDF, two steps of the learner and the calibrated probability."""
+    text = "Thé the, 3 über"
+    n = language.counts(text)
+    brute = brute_ngrams(text)
+    assert {int(k): int(n[k]) for k in np.flatnonzero(n)} == dict(brute)
+    idf = np.random.default_rng(1).random(language.BUCKETS) + 1
+    model = language.Model(["a", "b"], idf, np.random.default_rng(2).normal(size=(language.BUCKETS, 2)), temperature=2.0)
+    at, x = model.features(n)
+    own = {k: (1 + math.log(c)) * idf[k] for k, c in brute.items()}
+    norm = math.sqrt(sum(v * v for v in own.values()))
+    assert {int(k): pytest.approx(own[int(k)] / norm) for k in at} == dict(zip(at.tolist(), x.tolist()))
+    z = [sum(own[k] / norm * model.weights[k, j] for k in own) / 2.0 for j in (0, 1)]
+    assert model.probabilities(text)[0] == pytest.approx(1 / (1 + math.exp(z[1] - z[0])))
+    rows, alpha, beta, l1, l2 = [(np.array([3, 5]), np.array([0.6, 0.8]), 1), (np.array([5]), np.array([1.0]), 0)], 2.0, 1.0, 0.02, 0.02
+    zs, ns = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+    weight = lambda k, j: 0.0 if abs(zs[k][j]) <= l1 else -(zs[k][j] - math.copysign(l1, zs[k][j])) / ((beta + math.sqrt(ns[k][j])) / alpha + l2)
+    for at, x, y in rows:
+        s = [sum(v * weight(k, j) for k, v in zip(at.tolist(), x.tolist())) for j in (0, 1)]
+        p = [math.exp(v) / sum(map(math.exp, s)) for v in s]
+        for k, v in zip(at.tolist(), x.tolist()):
+            w = [weight(k, j) for j in (0, 1)]
+            for j in (0, 1):
+                g = v * (p[j] - (j == y))
+                zs[k][j] += g - (math.sqrt(ns[k][j] + g * g) - math.sqrt(ns[k][j])) / alpha * w[j]
+                ns[k][j] += g * g
+    learned = language.ftrl(rows, 2, 1)
+    for k in (3, 5):
+        assert learned[k].tolist() == pytest.approx([weight(k, 0), weight(k, 1)])
+    assert (np.flatnonzero(learned.any(axis=1)) == [3, 5]).all()
+
+
+def test_long_texts_ties_and_repeats(spark):
+    """Words beyond the first megabyte count; equal texts score equally; a doc_id labelled both ways is clean."""
+    toxic = toxicity.Model(["vile"], np.array([[0.01, 0.9]] * 9), np.ones(9), np.ones(9), -3.0)
+    far = "word " * 300_000 + "vile"
+    assert toxic.votes(far)[0] == 1 and toxic.score(far) == toxic.score(far)
+    docs = spark.createDataFrame([(i, f"vile w{i % 3}" if i % 2 else "kind words", "en") for i in range(200)] + [(1, "vile w1", "en")], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, 0)], "doc_id long, toxic int")
+    of, _ = toxicity._draw(docs, marks, 3000, 9000)
+    assert of[7] == 0 and of[9] == 1
+    out = toxicity.assess(docs, toxicity.fit(docs, marks, F.lit(True))).collect()
+    assert len({r["toxic_score"] for r in out if r["text"] == "vile w1"}) == 1 and len(out) == 201
+    model = language.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("xx")), F.col("lang"), F.lit(True))
+    assert model.predict("kind words " * 200_000)[0] == "en"
+    tied = language.Model(["a", "b"], np.ones(language.BUCKETS), np.zeros((language.BUCKETS, 2)))
+    assert tied.predict("same") == ("a", 0.5)
+
+
+def test_posterior_by_hand():
+    r = np.random.default_rng(5)
+    y = r.random(800) < 0.4
+    votes = np.stack([r.random(800) < np.where(y, a, b) for a, b in ((0.8, 0.1), (0.6, 0.2), (0.7, 0.05))], axis=1).astype(np.int8)
+    labels = (r.random(800) < np.where(y, 0.9, 0.1)).astype(np.int8)
+    rates, own, post = toxicity.label_model(votes, labels, rounds=400)
+    prior = post.mean()
+    for v, label, p in list(zip(votes, labels, post))[:60]:
+        z = math.log(prior / (1 - prior))
+        for fires, (clean, toxic), share in zip([*v, label], rates, own):
+            z += share * (math.log(toxic / clean) if fires else math.log((1 - toxic) / (1 - clean)))
+        assert p == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3)
+
+
 def test_toxicity(spark):
     r, rows, labels = random.Random(6), [], []
     clean = [f"word{i}" for i in range(200)]
