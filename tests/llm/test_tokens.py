@@ -144,3 +144,11 @@ def test_pieces_match_the_library(spark):
     assert Counter(tuple(r) for r in sentencepieces.decode_documents(encoded, path).collect()) == Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
     assert all(r["exact"] for r in sentencepieces.digest_documents(docs, path).collect())
     assert sentencepieces.digest_documents(empty(spark), path).count() == 0
+
+
+def test_relational_lattice(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own = sentencepieces.load(path)
+    words = sorted({u for t in texts()[:26] if t and len(t) < 3000 for u in sentencepieces._UNIT.findall(sentencepieces.SPACE + t.replace(" ", sentencepieces.SPACE))} | {"日", "aaaaaaaaaaaaaaaa", "▁▁▁"})
+    found = {r["word"]: r["ids"] for r in sentencepieces.relational_lattice(spark.createDataFrame([(w,) for w in [*words, "", words[0]]], "word string"), path).collect()}
+    assert found == {w: [own.id.get(p, -1) for p in own.lattice(w)] for w in words}
