@@ -368,8 +368,9 @@ def time(h: Column, m: Column, s: Column) -> Column:
 
 
 def _seconds(t: Column) -> Column:
-    """Seconds of the day, steadied against the last binary digits."""
-    return modulo(F.floor(num(t) * 86400 + 1e-6), F.lit(86400.0))
+    """Seconds of the day, steadied against the last binary digits, of which late days have fewer below the second."""
+    s = num(t) * 86400
+    return modulo(F.floor(s + F.greatest(F.lit(1e-6), F.abs(s) * 2.0**-50)), F.lit(86400.0))
 
 
 def hour(t: Column) -> Column:

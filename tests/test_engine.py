@@ -296,6 +296,13 @@ def test_override_modes():
             prepared(mode, low, **given)
 
 
+def test_time_of_late_days(spark):
+    """Beyond 100,000 days a double's last digit is more than a millionth of a second; late orders lost a second there."""
+    df = spark.range(6_000_000, 9_000_000, 997).selectExpr("id AS k")
+    out = evaluate(df, {"h": "HOUR(TIME(k, 30, 15))", "m": "MINUTE(TIME(k, 30, 15))", "s": "SECOND(TIME(k, 30, 15))"})
+    assert out.count() > 3000 and out.where("h <> k % 24 OR m <> 30 OR s <> 15").count() == 0
+
+
 def test_table_functions(spark):
     table = '{1, 10, "a"; 3, 20, "b"; 5, 30, "c"}'
     for formula, wanted in ((f"VLOOKUP(4, {table}, 2)", 20.0), (f"VLOOKUP(4, {table}, 3, FALSE)", None), (f"VLOOKUP(5, {table}, 3, FALSE)", "c"), (f"VLOOKUP(0, {table}, 2)", None), ("HLOOKUP(2, {1, 2; 7, 8; 9, 10}, 3)", 10.0), ("VLOOKUP(2, {1, 4; 2, 5}, 1 + 1)", 5.0)):
