@@ -8,6 +8,7 @@ unless a function says otherwise.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Callable
 
@@ -75,12 +76,16 @@ def log(a: Column, base: Column | None = None) -> Column:
     return F.log10(num(a)) if base is None else F.try_divide(F.ln(num(a)), F.ln(num(base)))
 
 
+#: 0! to 170!, the last that a double holds.
+_FACTORIALS = [float(math.factorial(k)) for k in range(21)]
+for _k in range(21, 171):
+    _FACTORIALS.append(_FACTORIALS[-1] * _k)
+
+
 def fact(n: Column) -> Column:
     """n! of the whole part; null below 0 and beyond 170."""
     n = F.floor(num(n))
-    small = F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double")
-    large = F.aggregate(F.sequence(F.lit(21), F.greatest(F.least(n, F.lit(170)), F.lit(21)).cast("int")), F.lit(2432902008176640000.0), lambda acc, k: acc * F.when(k <= n, k.cast("double")).otherwise(1.0))
-    return F.when((n < 0) | (n > 170), F.lit(None).cast("double")).when(n <= 20, small).otherwise(large)
+    return F.when((n >= 0) & (n <= 170), F.get(F.lit(_FACTORIALS), n.cast("int")))
 
 
 def combin(n: Column, k: Column) -> Column:
@@ -291,7 +296,10 @@ def match(v: Column, keys: Column, kind: int = 1) -> Column:
     """The 1-based place of v: exact (0), or the last key of an ascending array that is at most v (1)."""
     if kind == 0:
         return F.nullif(F.array_position(keys, v), F.lit(0).cast("long")).cast("double")
-    n = F.size(F.filter(keys, lambda k: k <= v))
+    # As many keys are above v as stand before it in descending order; a lambda would work v out once a key, uncompiled.
+    above = F.array_position(F.sort_array(F.array_append(keys, v), asc=False), v) - 1
+    nulls = F.array_position(F.sort_array(keys), F.array_min(keys)) - 1
+    n = F.size(keys) - nulls - above
     return F.when(n > 0, n.cast("double"))
 
 

@@ -303,6 +303,32 @@ def test_time_of_late_days(spark):
     assert out.count() > 3000 and out.where("h <> k % 24 OR m <> 30 OR s <> 15").count() == 0
 
 
+def test_places_and_factorials_are_compiled(spark):
+    """No lambda is left of either: lambdas run uncompiled, and worked a looked-up value out once a key."""
+    df = spark.createDataFrame([(float(k),) for k in range(-1, 173)] + [(2.5,), (None,)], "x double")
+    out = evaluate(df, {"at": "MATCH(x, {2, 3, 3, 7})", "l": "LOOKUP(x * 2, {0, 31, 60}, {1, 2, 3})", "f": "FACT(x)", "c": "COMBIN(x, 2)"})
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        x = r["x"]
+        n = sum(x is not None and k <= x for k in (2, 3, 3, 7))
+        m = sum(x is not None and k <= x * 2 for k in (0, 31, 60))
+        whole = x is not None and 0 <= x < 171
+        assert (r["at"], r["l"]) == (float(n) if n else None, float(m) if m else None)
+        assert r["f"] == (pytest.approx(float(math.factorial(int(x))), rel=1e-12) if whole else None)
+        assert r["c"] == (pytest.approx(math.comb(int(x), 2), rel=1e-9) if whole and x >= 2 else None)
+    rows = spark.createDataFrame([(2.0, [1.0, None, 2.0, None, 3.0]), (0.0, [1.0, None]), (None, [1.0]), (2.0, [None, None]), (2.0, [])], "v double, k array<double>")
+    assert [r[0] for r in rows.select(L.match(F.col("v"), F.col("k"))).collect()] == [2.0, None, None, None, None]
+
+
+def test_macro_library_in_parts(spark, tmp_path):
+    """Each function has a short plan of its own, whatever the others; no rows, no groups, as in the SQL."""
+    from gridloom import catalog
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(0).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = catalog.queries()["macro_library"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().analyzed().toString().count("Aggregate") == 39 and out.count() == 0
+
+
 def test_table_functions(spark):
     table = '{1, 10, "a"; 3, 20, "b"; 5, 30, "c"}'
     for formula, wanted in ((f"VLOOKUP(4, {table}, 2)", 20.0), (f"VLOOKUP(4, {table}, 3, FALSE)", None), (f"VLOOKUP(5, {table}, 3, FALSE)", "c"), (f"VLOOKUP(0, {table}, 2)", None), ("HLOOKUP(2, {1, 2; 7, 8; 9, 10}, 3)", 10.0), ("VLOOKUP(2, {1, 4; 2, 5}, 1 + 1)", 5.0)):
