@@ -197,8 +197,8 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
             yield first + at, data[at : at + PART_ROWS]
 
 
-def _stage(own: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Each block's requests, and a row of its texts (kind is null)."""
+def _stage(own: DataFrame, order: int | None, buckets: int) -> DataFrame:
+    """Each block's requests, and a row of its texts (kind is null); no order, no grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -212,7 +212,7 @@ def _stage(own: DataFrame, order: int, buckets: int) -> DataFrame:
                 out = [(WORDS, k, block, _common.squeezed(w), _squeezed(n[at[x:y]]), None, None) for (k, x, y), w in zip(spans, pc.binary_join(lists, "\n").cast(pa.binary()).to_pylist())]
                 found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
                 kept = []
-                for start, part in _parts(texts):
+                for start, part in _parts(texts) if order else ():
                     keys, holders, docs, times = grams_of(part, order)
                     found.append((keys, np.add.reduceat(times * learn[start + docs.astype(np.int64)], np.cumsum(holders) - holders)))
                 for _, part in groups(texts, PART_BYTES):
@@ -293,7 +293,7 @@ def _look_up(requests: pa.Table, given: pa.Table) -> pa.Table:
     return _table(ANSWERS, [(GRAMS, r["bucket"], r["block"], _squeezed(values[np.searchsorted(keys, _asked(r))]), 0, 0) for r in requests.to_pylist()])
 
 
-def _score(order: int, buckets: int, n_all: int, v: int, ends: int):
+def _score(order: int | None, buckets: int, n_all: int, v: int, ends: int):
     floor = np.log10(n_all + 0.5 * (v + 1))
     end_log = float(np.log10(ends + 0.5) - floor)
 
@@ -312,25 +312,29 @@ def _score(order: int, buckets: int, n_all: int, v: int, ends: int):
             n_tokens = np.bincount(rows, minlength=len(texts)) + 1
             known = np.bincount(rows, counts[numbers] > 0, len(texts)).astype(np.int64) + (ends > 0)
             base = np.bincount(rows, word_logs[numbers], len(texts)) + end_log
-            parts = [(start, len(part), grams_of(part, order)) for start, part in _parts(texts)]
-            keys = np.unique(np.concatenate([g[0] for _, _, g in parts]))
-            values = _restored([_unsqueezed(a, "<f8") for k, _, a in answers if k == GRAMS], _gram_buckets(keys, buckets))
-            sums = [np.bincount(docs, np.repeat(values[np.searchsorted(keys, g)], holders) * times, n) for _, n, (g, holders, docs, times) in parts]
-            out.append(pa.table([pa.array(r["doc_ids"], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(known), pa.array(np.full(len(texts), n_all)), pa.array(base), pa.array(np.concatenate(sums))], [x.split()[0] for x in SCORES.split(", ")]))
+            scores = pa.nulls(len(texts), pa.float64())
+            if order:
+                parts = [(start, len(part), grams_of(part, order)) for start, part in _parts(texts)]
+                keys = np.unique(np.concatenate([g[0] for _, _, g in parts]))
+                values = _restored([_unsqueezed(a, "<f8") for k, _, a in answers if k == GRAMS], _gram_buckets(keys, buckets))
+                sums = [np.bincount(docs, np.repeat(values[np.searchsorted(keys, g)], holders) * times, n) for _, n, (g, holders, docs, times) in parts]
+                scores = pa.array(np.concatenate(sums))
+            out.append(pa.table([pa.array(r["doc_ids"], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(known), pa.array(np.full(len(texts), n_all)), pa.array(base), scores], [x.split()[0] for x in SCORES.split(", ")]))
         return pa.concat_tables(out)
 
     return score
 
 
-def score_documents(docs: DataFrame, may_learn: Column, order: int = ORDER) -> DataFrame:
+def score_documents(docs: DataFrame, may_learn: Column, order: int | None = ORDER) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text).
 
     score is the log10 probability of the row's bytes, A-Z lower-cased and white space as it stands,
     and the end. Null and empty texts are the end alone. Where nothing may be learned, all counts are
     zero and every symbol is equally likely. Repeated rows get equal results and count as often as they
-    stand; a null doc_id is never learned from; further columns are ignored.
+    stand; a null doc_id is never learned from; further columns are ignored. Order None leaves the trie
+    out: the other columns are the same, score is null.
     """
-    if not 2 <= order <= 5:
+    if order is not None and not 2 <= order <= 5:
         raise ValueError("the order is 2 to 5: a gram fits six bytes")
     spark = docs.sparkSession
     _common.ship(spark)
@@ -341,24 +345,29 @@ def score_documents(docs: DataFrame, may_learn: Column, order: int = ORDER) -> D
     asks = {kind: staged.where(F.col("kind") == kind).select("bucket", "block", "keys", "n") for kind in (WORDS, GRAMS)}
     words = _common.written(asks[WORDS].groupBy("bucket").applyInArrow(_count_words, ANSWERS), "words")
     v, n_words = words.agg(F.sum("distinct"), F.sum("total")).first()
-    merged = _common.written(asks[GRAMS].groupBy("bucket").applyInArrow(_merge(min(CONTEXTS, buckets)), MERGED), "merged")
-    pairs = _second_order(merged)
-    values = merged.groupBy("context").applyInArrow(_work_out(pairs, order, buckets), "bucket int, keys binary, n binary")
-    grams = asks[GRAMS].groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_look_up, ANSWERS)
-    answers = words.unionByName(grams).groupBy("block")
+    answers = words
+    if order:
+        merged = _common.written(asks[GRAMS].groupBy("bucket").applyInArrow(_merge(min(CONTEXTS, buckets)), MERGED), "merged")
+        pairs = _second_order(merged)
+        values = merged.groupBy("context").applyInArrow(_work_out(pairs, order, buckets), "bucket int, keys binary, n binary")
+        answers = words.unionByName(asks[GRAMS].groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_look_up, ANSWERS))
     texts = staged.where("kind is null").select("block", "doc_ids", "texts").groupBy("block")
-    return texts.cogroup(answers).applyInArrow(_score(order, buckets, (n_words or 0) + ends, (v or 0) + (ends > 0), ends), SCORES)
+    return texts.cogroup(answers.groupBy("block")).applyInArrow(_score(order, buckets, (n_words or 0) + ends, (v or 0) + (ends > 0), ends), SCORES)
 
 
-def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, order: int | None) -> DataFrame:
     docs = _common.documents(spark, sf_dir)
     held = _common.id_remainder(F.col("doc_id"), 5) == 1
-    return score_documents(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_documents(docs, ~held, order).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, ORDER)
 
 
 def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can say of the operator's rows: all but the trie's score."""
-    return op6_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+    """What SQL can say of the operator's rows: all but the trie's score, so without the trie."""
+    return _scored(spark, sf_dir, None).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
 QUERIES = {"op6_lm_score": op6_lm_score, "base_scores": base_scores}

@@ -267,6 +267,19 @@ def test_language_model_without_rows(spark):
     assert alone["score"] == pytest.approx(-3 * math.log10(257)) and alone["n_known"] == 0
 
 
+def test_base_scores_without_trie(spark, monkeypatch):
+    docs = corpus(spark, ["a b a", " B\tc ", None, "a"])
+    full = lm_score.score_documents(docs, F.lit(True)).drop("score").collect()
+
+    def trie(*_):
+        raise AssertionError("base scores need no grams")
+
+    monkeypatch.setattr(lm_score, "_second_order", trie)
+    alone = lm_score.score_documents(docs, F.lit(True), None)
+    assert sorted(map(tuple, alone.drop("score").collect())) == sorted(map(tuple, full)) and alone.where("score is not null").count() == 0
+    assert lm_score.base_scores(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = set()
